@@ -52,6 +52,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+class SharedModel:
+    """A broadcast model with a name by which workers keep what they derive from it."""
+
+    def __init__(self, spark: SparkSession, model: object):
+        self.broadcast = spark.sparkContext.broadcast(model)
+        self.bid = self.broadcast._jbroadcast.id() if self.broadcast._jbroadcast is not None else id(model)
+
+    def __getstate__(self) -> dict:
+        return {"broadcast": self.broadcast, "bid": self.bid}
+
+    @property
+    def value(self) -> object:
+        return self.broadcast.value
+
+
 #: The letters, digits and white space of Unicode below U+0250.
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm.bpe import op1_byte_bpe
+from sluice.llm.langid import op9_kneser_ney
 from sluice.llm.media import op3_media_chunks
 from sluice.llm.packing import op8_sum_of_squares_packing
 from sluice.llm.shards import op10_id_shards
@@ -15,7 +16,7 @@ from sluice.llm.simhash import op2_simhash
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_ALL = (op1_byte_bpe, op2_simhash, op3_media_chunks, op8_sum_of_squares_packing, op10_id_shards)
+_ALL = (op1_byte_bpe, op2_simhash, op3_media_chunks, op8_sum_of_squares_packing, op9_kneser_ney, op10_id_shards)
 
 
 def queries() -> dict[str, Query]:
