@@ -12,11 +12,12 @@ from sluice.llm.media import op3_media_chunks
 from sluice.llm.packing import op8_sum_of_squares_packing
 from sluice.llm.shards import op10_id_shards
 from sluice.llm.simhash import op2_simhash
+from sluice.llm.toxicity import op7_crf_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_ALL = (op1_byte_bpe, op2_simhash, op3_media_chunks, op8_sum_of_squares_packing, op9_kneser_ney, op10_id_shards)
+_ALL = (op1_byte_bpe, op2_simhash, op3_media_chunks, op7_crf_toxicity, op8_sum_of_squares_packing, op9_kneser_ney, op10_id_shards)
 
 
 def queries() -> dict[str, Query]:
