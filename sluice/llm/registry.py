@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.llm.ann import op6_collision_counting
 from sluice.llm.bpe import op1_byte_bpe
 from sluice.llm.langid import op9_kneser_ney
 from sluice.llm.media import op3_media_chunks
@@ -17,7 +18,7 @@ from sluice.llm.toxicity import op7_crf_toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_ALL = (op1_byte_bpe, op2_simhash, op3_media_chunks, op7_crf_toxicity, op8_sum_of_squares_packing, op9_kneser_ney, op10_id_shards)
+_ALL = (op1_byte_bpe, op2_simhash, op3_media_chunks, op6_collision_counting, op7_crf_toxicity, op8_sum_of_squares_packing, op9_kneser_ney, op10_id_shards)
 
 
 def queries() -> dict[str, Query]:
