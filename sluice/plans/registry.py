@@ -1,30 +1,413 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the engine's operators, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.functions import scalar as S
+from sluice.functions.aggregate import aggregate, first_value, last_value, listagg
+from sluice.operators import joins, relations, windows
+from sluice.plans.engine import Engine
+
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        name = f.__name__.strip("_")
+        _QUERIES[name] = f
+        _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _dialect(name: str, text: str, sql: str, tables: tuple[str, ...] = ("events",), time: str = "ts") -> None:
+    """A query in the dialect's text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, time)
+        for t in tables:
+            engine.register(t, _t(spark, sf_dir, t))
+        return engine.sql(text)
+
+    _QUERIES[name] = run
+    _SQL[name] = sql
+
+
+# time windows
+
+
+@_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2, 3")
+def _tumbling_hour(spark, d):
+    return windows.tumbling(_t(spark, d, "events"), "ts", "1 hour", ["event_type"], [F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value")])
+
+
+@_query("""SELECT w AS window_start, w + INTERVAL '6 hours' AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total
+    FROM (SELECT *, unnest([time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' FOR k IN range(6)]) AS w FROM events) GROUP BY 1, 2, 3""")
+def _sliding_six_hours(spark, d):
+    return windows.sliding(_t(spark, d, "events"), "ts", "6 hours", "1 hour", ["event_type"], [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")])
+
+
+@_query("""WITH a AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '6 hours' THEN 1 ELSE 0 END AS f FROM events),
+    b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
+    SELECT min(ts) AS window_start, max(ts) + INTERVAL '6 hours' AS window_end, user_id, count(*) AS n FROM b GROUP BY user_id, s""")
+def _session_six_hours(spark, d):
+    return windows.session(_t(spark, d, "events"), "ts", "6 hours", ["user_id"], [F.count("*").alias("n")])
+
+
+@_query("""SELECT event_id, lag(value) OVER w AS lag_value, round(avg(value) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS avg_value,
+    least(row_number() OVER w, 10) AS buffer_rows FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def _row_buffer(spark, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    b = windows.row_buffer(["user_id"], ["ts", "event_id"], 10)
+    return _t(spark, d, "events").select("event_id", F.lag("value").over(w).alias("lag_value"), F.round(F.avg("value").over(b), 6).alias("avg_value"), F.least(F.row_number().over(w), F.lit(10)).cast("long").alias("buffer_rows"))
+
+
+@_query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events) WHERE n >= 10")
+def _buffer_full(spark, d):
+    return windows.buffer_full(_t(spark, d, "events"), ["user_id"], ["ts"], 10).select("event_id", "user_id")
+
+
+@_query("""WITH a AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '12 hours' THEN 1 ELSE 0 END AS f FROM events),
+    b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
+    SELECT event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts) AS place FROM b""")
+def _buffer_expiry(spark, d):
+    df = windows.expiring(_t(spark, d, "events"), ["user_id"], "ts", "12 hours")
+    return df.select("event_id", F.row_number().over(W.partitionBy("user_id", "_island").orderBy("ts")).cast("long").alias("place"))
+
+
+@_query("""SELECT event_id, rank() OVER w AS rnk, dense_rank() OVER w AS dense, round(percent_rank() OVER w, 9) AS pct, round(cume_dist() OVER w, 9) AS cume,
+    ntile(4) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts), event_id) AS tile FROM events WINDOW w AS (PARTITION BY user_id ORDER BY date_trunc('day', ts))""")
+def _ranking(spark, d):
+    w = W.partitionBy("user_id").orderBy(F.date_trunc("day", "ts"))
+    tile = W.partitionBy("user_id").orderBy(F.date_trunc("day", "ts"), "event_id")
+    cols = [F.rank().over(w).cast("long").alias("rnk"), F.dense_rank().over(w).cast("long").alias("dense"), F.round(F.percent_rank().over(w), 9).alias("pct"), F.round(F.cume_dist().over(w), 9).alias("cume"), F.ntile(4).over(tile).cast("long").alias("tile")]
+    return _t(spark, d, "events").select("event_id", *cols)
+
+
+@_query("""SELECT event_id, first_value(value) OVER w AS first_v, last_value(value) OVER w AS last_v, nth_value(value, 2) OVER w AS second_v, lead(value, 1) OVER (PARTITION BY user_id ORDER BY ts) AS next_v
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def _frame_values(spark, d):
+    o = W.partitionBy("user_id").orderBy("ts")
+    w = o.rowsBetween(-3, 0)
+    return _t(spark, d, "events").select("event_id", F.first("value").over(w).alias("first_v"), F.last("value").over(w).alias("last_v"), F.nth_value("value", 2).over(w).alias("second_v"), F.lead("value").over(o).alias("next_v"))
+
+
+@_query("""SELECT event_id, round(stddev_samp(value) OVER w, 6) AS sd, round(var_pop(value) OVER w, 2) AS vp, min(value) OVER w AS lo, max(value) OVER w AS hi, count(value) OVER w AS n
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def _frame_statistics(spark, d):
+    w = W.partitionBy("event_type").orderBy("ts").rowsBetween(-19, 0)
+    return _t(spark, d, "events").select("event_id", F.round(F.stddev_samp("value").over(w), 6).alias("sd"), F.round(F.var_pop("value").over(w), 2).alias("vp"), F.min("value").over(w).alias("lo"), F.max("value").over(w).alias("hi"), F.count("value").over(w).alias("n"))
+
+
+@_query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS day_n FROM events""")
+def _range_frame(spark, d):
+    w = W.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-86400, 0)
+    return _t(spark, d, "events").select("event_id", F.count("*").over(w).alias("day_n"))
+
+
+# projection, filter, expressions
+
+
+@_query("SELECT event_id, value * 2 AS twice, value * 2 + 1 AS more, event_type || ':' || CAST(user_id AS VARCHAR) AS tag FROM events WHERE value > 50 AND event_type <> 'error'")
+def _select_where(spark, d):
+    df = _t(spark, d, "events").where((F.col("value") > 50) & (F.col("event_type") != "error"))
+    return df.select("event_id", (F.col("value") * 2).alias("twice"), (F.col("value") * 2 + 1).alias("more"), F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("tag"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'large' END AS class, p_retailprice BETWEEN 1000 AND 1200 AS mid_price FROM part WHERE p_name LIKE '%a%' AND p_size IN (1, 5, 9, 14, 33, 45)")
+def _case_like_in(spark, d):
+    size = F.col("p_size")
+    df = _t(spark, d, "part").where(F.col("p_name").like("%a%") & size.isin(1, 5, 9, 14, 33, 45))
+    return df.select("p_partkey", F.when(size < 10, "small").when(size < 30, "mid").otherwise("large").alias("class"), F.col("p_retailprice").between(1000, 1200).alias("mid_price"))
+
+
+@_query("""SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 1.0 ELSE value / (user_id % 7) END AS ratio, nullif(event_type, 'view') AS kind, coalesce(nullif(event_type, 'view'), 'none') AS named,
+    nullif(event_type, 'view') IS NULL AS is_view FROM events""")
+def _null_handling(spark, d):
+    kind = S.scalar("NULLIF", F.col("event_type"), "view")
+    return _t(spark, d, "events").select("event_id", S.divide_or_one(F.col("value"), F.col("user_id") % 7).alias("ratio"), kind.alias("kind"), S.scalar("COALESCE", kind, "none").alias("named"), kind.isNull().alias("is_view"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(l_discount AS DECIMAL(18,4)) AS DOUBLE) AS off FROM lineitem")
+def _decimal_product(spark, d):
+    money = lambda c: F.col(c).cast("decimal(18,4)")
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (money("l_extendedprice") * money("l_discount")).cast("double").alias("off"))
+
+
+# functions
+
+
+@_query("SELECT event_id, abs(-value) AS a, round(value, 1) AS r, CAST(ceil(value) AS BIGINT) AS c, CAST(floor(value) AS BIGINT) AS f, sqrt(value) AS s, pow(value, 2) AS p, user_id % 7 AS m, least(value, 100) AS lo, greatest(value, 100) AS hi FROM events")
+def _math_functions(spark, d):
+    v = F.col("value")
+    cols = {"a": S.scalar("ABS", -v), "r": S.scalar("ROUND", v, 1), "c": S.scalar("CEILING", v), "f": S.scalar("FLOOR", v), "s": S.scalar("SQRT", v), "p": S.scalar("POW", v, 2), "m": S.scalar("MOD", F.col("user_id"), 7), "lo": S.scalar("LEAST", v, 100.0), "hi": S.scalar("GREATEST", v, 100.0)}
+    return _t(spark, d, "events").select("event_id", *[c.alias(n) for n, c in cols.items()])
+
+
+@_query("""SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS lw, substring(p_name, 2, 4) AS sub, replace(p_type, ' ', '-') AS rep, trim('  ' || p_name || ' ') AS tr, length(p_name) AS n, concat(p_brand, '/', p_size) AS cc,
+    split_part(p_name, ' ', 1) AS sp, left(p_name, 3) AS l3, right(p_name, 3) AS r3, CAST(strpos(p_name, 'a') AS INTEGER) AS pos, regexp_matches(p_name, '[aeiou]{2}') AS rx, regexp_replace(p_name, '[aeiou]', '#') AS rr, split_part(p_name, ' ', 2) AS sp2 FROM part""")
+def _string_functions(spark, d):
+    n = F.col("p_name")
+    cols = {"u": S.scalar("UPPER", n), "lw": S.scalar("LOWER", F.col("p_brand")), "sub": S.scalar("SUBSTRING", n, 2, 4), "rep": S.scalar("REPLACE", F.col("p_type"), " ", "-"), "tr": S.scalar("TRIM", F.concat(F.lit("  "), n, F.lit(" "))), "n": S.scalar("LEN", n).cast("long"), "cc": S.scalar("CONCAT", F.col("p_brand"), F.lit("/"), F.col("p_size"))}
+    cols |= {"sp": S.scalar("SPLIT", n, " "), "l3": S.scalar("LEFT", n, 3), "r3": S.scalar("RIGHT", n, 3), "pos": S.scalar("POSITION", "a", n), "rx": S.scalar("REGEXP", n, "[aeiou]{2}"), "rr": S.scalar("REGEXP_REPLACE", n, "[aeiou]", "#"), "sp2": S.scalar("SPLIT_PART", n, " ", 2)}
+    return _t(spark, d, "part").select("p_partkey", *[c.alias(k) for k, c in cols.items()])
+
+
+@_query("""SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, dayofweek(ts) AS dow, dayofyear(ts) AS doy, weekofyear(ts) AS wk, quarter(ts) AS q, CAST(floor(epoch(ts)) AS BIGINT) AS ep, strftime(ts, '%Y/%m/%d %H:%M') AS txt,
+    date_diff('month', TIMESTAMP '2023-11-15 00:00:00', ts) AS months, date_diff('day', TIMESTAMP '2023-11-15 12:00:00', ts) AS days FROM events""")
+def _date_functions(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    at = lambda text: F.unix_millis(F.lit(text).cast("timestamp"))
+    parts = {"y": "YEAR", "mo": "MONTH", "d": "DAY", "h": "HOUR", "dow": "DOW", "doy": "DOY", "wk": "WEEK", "q": "QUARTER", "ep": "EPOCH"}
+    cols = [S.extract(p, ms).alias(n) for n, p in parts.items()]
+    return _t(spark, d, "events").select("event_id", *cols, S.scalar("DATE_FORMAT", ms, "%Y/%m/%d %H:%M").alias("txt"), S.datediff("months", at("2023-11-15 00:00:00"), ms).alias("months"), S.datediff("days", at("2023-11-15 12:00:00"), ms).alias("days"))
+
+
+@_query("SELECT event_id, props->>'$.k' AS k, json_exists(props, '$.k') AS has_k, json_exists(props, '$.z') AS has_z FROM events")
+def _json_functions(spark, d):
+    p = F.col("props")
+    return _t(spark, d, "events").select("event_id", S.scalar("JSON_VALUE", p, "$.k").alias("k"), S.scalar("JSON_EXISTS", p, "$.k").alias("has_k"), S.scalar("JSON_EXISTS", p, "$.z").alias("has_z"))
+
+
+@_query("SELECT vec_id, len(embedding) AS n, list_contains([label, 3], 3) AS has3, [label, label + 1][2] AS second, map_keys(MAP {'a': label, 'b': 2})[1] AS k1 FROM embeddings")
+def _array_functions(spark, d):
+    lab = F.col("label")
+    return _t(spark, d, "embeddings").select("vec_id", S.scalar("ARRAY_LENGTH", F.col("embedding")).cast("long").alias("n"), S.scalar("ARRAY_CONTAINS", S.scalar("ARRAY", lab, F.lit(3)), 3).alias("has3"), S.scalar("ARRAY", lab, lab + 1)[1].alias("second"), S.scalar("MAP_KEYS", S.scalar("MAP", "a", lab, "b", F.lit(2)))[0].alias("k1"))
+
+
+# aggregation
+
+
+@_query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS s, round(avg(value), 6) AS a, min(value) AS lo, max(value) AS hi, count(DISTINCT user_id) AS users, round(max(value) - min(value), 6) AS delta, median(value) AS med FROM events GROUP BY 1")
+def _group_by(spark, d):
+    v = F.col("value")
+    return _t(spark, d, "events").groupBy("event_type").agg(aggregate("COUNT").alias("n"), F.round(aggregate("SUM", v), 4).alias("s"), F.round(aggregate("AVG", v), 6).alias("a"), aggregate("MIN", v).alias("lo"), aggregate("MAX", v).alias("hi"), aggregate("COUNT_DISTINCT", "user_id").alias("users"), F.round(aggregate("DELTA", v), 6).alias("delta"), aggregate("MEDIAN", v).alias("med"))
+
+
+@_query("SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sdp, round(var_samp(l_quantity), 4) AS v, round(var_pop(l_quantity), 4) AS vp, round(corr(l_extendedprice, l_quantity), 6) AS c, round(covar_pop(l_extendedprice, l_quantity), 2) AS cp, round(covar_samp(l_extendedprice, l_quantity), 2) AS cs, round(regr_slope(l_extendedprice, l_quantity), 4) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ic, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
+def _statistics(spark, d):
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    one = {"sd": ("STDDEV", 6), "sdp": ("STDDEV_POP", 6), "v": ("VARIANCE", 4), "vp": ("VAR_POP", 4)}
+    two = {"c": ("CORR", 6), "cp": ("COVAR_POP", 2), "cs": ("COVAR_SAMP", 2), "sl": ("REGR_SLOPE", 4), "ic": ("REGR_INTERCEPT", 2), "r2": ("REGR_R2", 6)}
+    cols = [F.round(aggregate(f, q), n).alias(k) for k, (f, n) in one.items()] + [F.round(aggregate(f, p, q), n).alias(k) for k, (f, n) in two.items()]
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(*cols)
+
+
+@_query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, quantile_disc(value, 0.25) AS d25 FROM events GROUP BY 1")
+def _percentiles(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(F.round(aggregate("PERCENTILE_CONT", "value", 0.9), 6).alias("p90"), aggregate("PERCENTILE_DISC", "value", 0.25).alias("d25"))
+
+
+@_query("SELECT user_id, arg_min(value, ts) AS first_v, arg_max(value, ts) AS last_v, string_agg(event_type, ',' ORDER BY ts) AS kinds FROM events GROUP BY 1")
+def _ordered_aggregates(spark, d):
+    t = F.col("ts")
+    return _t(spark, d, "events").groupBy("user_id").agg(first_value(F.col("value"), t).alias("first_v"), last_value(F.col("value"), t).alias("last_v"), listagg(F.col("event_type"), t).alias("kinds"))
+
+
+@_query("SELECT user_id, count(*) AS n, round(sum(value) / count(*), 6) AS mean FROM events GROUP BY 1 HAVING count(*) > 60 AND sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 5 < count(*)")
+def _having(spark, d):
+    df = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value") / F.count("*"), 6).alias("mean"), F.sum((F.col("event_type") == "error").cast("int")).alias("errors"))
+    return df.where((F.col("n") > 60) & (F.col("errors") * 5 < F.col("n"))).drop("errors")
+
+
+@_query("SELECT DISTINCT user_id, event_type FROM events")
+def _distinct(spark, d):
+    return _t(spark, d, "events").select("user_id", "event_type").distinct()
+
+
+@_query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def _rollup(spark, d):
+    return _t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def _top_k(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(25)
+
+
+# joins
+
+
+@_query("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 100000")
+def _equi_join(spark, d):
+    o, c, n = (_t(spark, d, t) for t in ("orders", "customer", "nation"))
+    return o.where("o_totalprice > 100000").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+
+
+@_query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL OUTER JOIN (SELECT * FROM orders WHERE o_custkey % 2 = 0) o ON c.c_custkey = o.o_custkey")
+def _full_join(spark, d):
+    c, o = _t(spark, d, "customer").where("c_custkey % 3 = 0"), _t(spark, d, "orders").where("o_custkey % 2 = 0")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_orderkey")
+
+
+@_query("SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey < n.n_nationkey AND n.n_regionkey = 2")
+def _theta_join(spark, d):
+    s, n = _t(spark, d, "supplier"), _t(spark, d, "nation").where("n_regionkey = 2")
+    return s.join(F.broadcast(n), F.col("s_nationkey") < F.col("n_nationkey")).select("s_suppkey", "n_nationkey")  # 25 nations at any scale
+
+
+@_query("SELECT e.event_id, e.user_id, coalesce(c.c_mktsegment, 'unknown') AS c_mktsegment FROM events e LEFT JOIN (SELECT c_custkey AS user_id, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) c ON e.user_id = c.user_id")
+def _stream_table_join(spark, d):
+    table = _t(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return joins.stream_table(_t(spark, d, "events"), table, ["user_id"], "defaults", {"c_mktsegment": "unknown"}).select("event_id", "user_id", "c_mktsegment")
+
+
+_SIDES = "(SELECT event_id AS l_id, user_id, ts AS l_ts FROM events WHERE event_type = 'click') l {} JOIN (SELECT event_id AS r_id, user_id, ts AS r_ts FROM events WHERE event_type = 'purchase') r"
+
+
+def _two(spark, d):
+    e = _t(spark, d, "events")
+    left = e.where("event_type = 'click'").select(F.col("event_id").alias("l_id"), "user_id", F.col("ts").alias("l_ts"))
+    return left, e.where("event_type = 'purchase'").select(F.col("event_id").alias("r_id"), "user_id", F.col("ts").alias("r_ts"))
+
+
+@_query(f"SELECT l_id, r_id FROM {_SIDES.format('')} ON l.user_id = r.user_id AND r_ts BETWEEN l_ts - INTERVAL 1 HOUR AND l_ts + INTERVAL 6 HOUR")
+def _interval_join(spark, d):
+    left, right = _two(spark, d)
+    l, r = left.alias("l"), right.alias("r")
+    return joins.interval_join(l, r, F.col("l.user_id") == F.col("r.user_id"), "l_ts", "r_ts", "-1 HOUR", "6 HOUR").select("l_id", "r_id")
+
+
+@_query(f"SELECT l_id, r_id FROM {_SIDES.format('LEFT')} ON l.user_id = r.user_id AND r_ts BETWEEN l_ts - INTERVAL 3 HOUR AND l_ts + INTERVAL 3 HOUR")
+def _within_left(spark, d):
+    left, right = _two(spark, d)
+    return joins.within(left.alias("l"), right.alias("r"), F.col("l.user_id") == F.col("r.user_id"), "l_ts", "r_ts", "3 HOUR", "left").select("l_id", "r_id")
+
+
+@_query(f"SELECT l_id, r_id FROM {_SIDES.format('')} ON l.user_id = r.user_id AND time_bucket(INTERVAL '1 day', l_ts) = time_bucket(INTERVAL '1 day', r_ts)")
+def _tumbling_join(spark, d):
+    left, right = _two(spark, d)
+    return joins.tumbling_join(left, right, ["user_id"], "l_ts", "r_ts", "1 day").select("l_id", "r_id")
+
+
+@_query(f"""SELECT l_id, r_id, w AS window_start FROM (SELECT l_id, r_id, l_ts, r_ts, unnest([time_bucket(INTERVAL '1 hour', l_ts) - k * INTERVAL '1 hour' FOR k IN range(6)]) AS w FROM {_SIDES.format('')} ON l.user_id = r.user_id)
+    WHERE r_ts >= w AND r_ts < w + INTERVAL '6 hours'""")
+def _sliding_join(spark, d):
+    left, right = _two(spark, d)
+    return joins.sliding_join(left, right, ["user_id"], "l_ts", "r_ts", "6 hours", "1 hour").select("l_id", "r_id", F.col("window.start").alias("window_start"))
+
+
+@_query("""WITH a AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '6 hours' THEN 1 ELSE 0 END AS f FROM events WHERE event_type IN ('click', 'purchase')),
+    b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
+    SELECT l.event_id AS l_id, r.event_id AS r_id FROM b l JOIN b r ON l.user_id = r.user_id AND l.s = r.s AND l.event_type = 'click' AND r.event_type = 'purchase'""")
+def _session_join(spark, d):
+    left, right = _two(spark, d)
+    return joins.session_join(left, right, ["user_id"], "l_ts", "r_ts", "6 hours").select("l_id", "r_id")
+
+
+@_query(f"SELECT l_id, r_id FROM {_SIDES.format('ASOF LEFT')} ON l.user_id = r.user_id AND r.r_ts <= l.l_ts")
+def _as_of_join(spark, d):
+    left, right = _two(spark, d)
+    return joins.as_of(left, right, ["user_id"], "l_ts", "r_ts", ["r_id"]).select("l_id", "r_id")
+
+
+# subqueries, sets, changes
+
+
+@_query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
+def _exists(spark, d):
+    return relations.exists(_t(spark, d, "customer"), _t(spark, d, "orders").where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey")
+
+
+@_query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
+def _not_exists(spark, d):
+    return relations.not_exists(_t(spark, d, "customer"), _t(spark, d, "orders").where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey")
+
+
+@_query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def _in_subquery(spark, d):
+    return relations.in_query(_t(spark, d, "part"), "p_partkey", _t(spark, d, "lineitem").where("l_quantity > 49"), "l_partkey").select("p_partkey")
+
+
+@_query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def _not_in_subquery(spark, d):
+    return relations.not_in_query(_t(spark, d, "part"), "p_partkey", _t(spark, d, "lineitem").where("l_quantity > 49"), "l_partkey").select("p_partkey")
+
+
+@_query("SELECT event_id FROM events WHERE value > (SELECT avg(value) FROM events)")
+def _scalar_subquery(spark, d):
+    e = _t(spark, d, "events")
+    return relations.with_scalar(e, e, F.avg("value"), "m").where("value > m").select("event_id")
+
+
+@_query("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+def _correlated_subquery(spark, d):
+    o = _t(spark, d, "orders")
+    return o.join(o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m")), "o_custkey").where("o_totalprice > m").select("o_orderkey")
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal < 5000)")
+def _all_subquery(spark, d):
+    c = _t(spark, d, "customer").where("c_nationkey = 3 AND c_acctbal < 5000")
+    return relations.compare_all(_t(spark, d, "supplier"), "s_acctbal", ">", c, "c_acctbal").select("s_suppkey")
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3)")
+def _any_subquery(spark, d):
+    c = _t(spark, d, "customer").where("c_nationkey = 3")
+    return relations.compare_any(_t(spark, d, "supplier"), "s_acctbal", "<", c, "c_acctbal").select("s_suppkey")
+
+
+@_query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
+def _union(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))).distinct()
+
+
+@_query("SELECT user_id AS k FROM events EXCEPT SELECT o_custkey AS k FROM orders")
+def _except(spark, d):
+    return _t(spark, d, "events").select(F.col("user_id").alias("k")).subtract(_t(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+
+
+@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 4 <> 1")
+def _upsert_update_delete(spark, d):
+    table = _t(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    changes = table.where("s_suppkey % 4 = 0").withColumn("s_acctbal", F.lit(-1.0))
+    merged = relations.upsert(table, changes, ["s_suppkey"])
+    merged = relations.update(merged, {"s_acctbal": F.lit(0.0)}, F.col("s_acctbal") == -1.0)
+    return relations.delete(merged, F.col("s_suppkey") % 4 == 1)
+
+
+# the dialect's text
+
+_dialect(
+    "sql_tumbling",
+    "SELECT event_type, TUMBLE_START() AS w_start, COUNT(*) AS n, ROUND(AVG(value), 6) AS avg_value FROM events GROUP BY event_type WINDOW TUMBLING(ts, 1h) HAVING COUNT(*) > 2 EMIT FINAL",
+    f"SELECT event_type, epoch_ms(time_bucket(INTERVAL '1 hour', ts)) AS w_start, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type, time_bucket(INTERVAL '1 hour', ts) HAVING count(*) > 2",
+)
+_dialect("sql_session", "SELECT user_id, COUNT(*) AS n, _WINDOW_START AS s FROM events GROUP BY user_id WINDOW SESSION(6h) EMIT FINAL", _SQL["session_six_hours"].replace("SELECT min(ts) AS window_start, max(ts) + INTERVAL '6 hours' AS window_end, user_id, count(*) AS n", "SELECT user_id, count(*) AS n, CAST(floor(epoch_us(min(ts)) / 1000) AS BIGINT) AS s"))
+_dialect(
+    "sql_row_buffer",
+    "SELECT event_id, LAG(value, 1) OVER (ROWS WINDOW BUFFER 10 ROWS PARTITION BY user_id ORDER BY ts) AS prev, ROUND(AVG(value) OVER (ROWS WINDOW BUFFER 10 ROWS PARTITION BY user_id ORDER BY ts EMIT EVERY RECORD), 6) AS mean FROM events EMIT CHANGES",
+    "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS prev, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean FROM events",
+)
+
+@_query("SELECT event_id, CAST(dayofweek(ts) AS INTEGER) AS dow, strftime(ts, '%Y-%m') AS ym, CAST(date_diff('month', make_timestamp(1700000000000000), ts) AS INTEGER) AS months, props->>'$.k' AS k, regexp_replace(event_type, '[aeiou]', '#') AS rr, CAST(length(event_type) AS INTEGER) AS n FROM events")
+def _sql_functions(spark, sf_dir):
+    engine = Engine(spark, "ts")
+    engine.register("events", _t(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))))
+    return engine.sql("SELECT event_id, EXTRACT(DOW FROM ms) AS dow, DATE_FORMAT(ms, '%Y-%m') AS ym, DATEDIFF('months', 1700000000000, ms) AS months, JSON_VALUE(props, '$.k') AS k, REGEXP_REPLACE(event_type, '[aeiou]', '#') AS rr, LEN(event_type) AS n FROM events")
 
 
-def _tumbling_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return (
-        events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-        .agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
-        .select(F.col("w.start").alias("window_start"), "event_type", "n", "avg_value")
-    )
+_dialect("sql_all", "SELECT s_suppkey FROM supplier WHERE s_acctbal > ALL (SELECT c_acctbal FROM customer WHERE c_nationkey = 3 AND c_acctbal < 5000)", _SQL["all_subquery"], ("supplier", "customer"))
+_dialect("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier", _SQL["union"], ("customer", "supplier"))
+_dialect("sql_within", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id WITHIN 10m WHERE a.event_id < b.event_id", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE WHERE a.event_id < b.event_id")
 
 
 def queries() -> dict[str, Query]:
-    return {"tumbling_hour": _tumbling_hour}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "tumbling_hour": """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n,
-            round(avg(value), 6) AS avg_value FROM events GROUP BY 1, 2"""
-    }
+    return dict(_SQL)
