@@ -1,60 +1,137 @@
-"""Ids by the tokenizers library, with texts cut where no token can cross and each piece encoded once."""
+"""Ids by the tokenizers library, with texts cut where no token can cross and each part encoded once.
+
+Texts are cut into pieces at blanks, by plain string functions; a piece not met before that isn't a plain word is split into pre-tokens by the
+tokenizer's own pattern; pre-tokens not met before go to the library, many in one text with a sign between them that
+is a token of its own.
+"""
 
 from __future__ import annotations
 
 import os
 import re
 from array import array
-from collections.abc import Callable
 from functools import lru_cache
+from itertools import batched
+
+import numpy as np
 
-#: Pieces that a worker remembers; a full memo starts anew.
-MEMO_ENTRIES = 300_000
+from sluice.llm._common import Splitter, narrow
+
+#: Pieces and pre-tokens that a worker remembers; a full memo starts anew.
+MEMO = 700_000
+#: Pre-tokens in one text for the library.
+JOINED = 2000
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python only
 _AWAY = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?:\s|\Z)")
 
 
-def cut_words(text: str) -> list[str] | None:
-    """Pieces of a text for a tokenizer that drops white space; None: it can't be cut."""
-    return None if _ODD.search(text) else text.split()
+class Words:
+    """A tokenizer that ignores case and drops white space. Pieces: what stands between white space."""
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    sign, between = "\x01", " \x01 "
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        return text.split()
+
+    @staticmethod
+    def simple(piece: str) -> bool:
+        """Whether a piece is one pre-token for certain."""
+        return piece.islower() and piece.isalpha()
+
+    @staticmethod
+    def plain(piece: str) -> str | None:
+        """The piece as the tokenizer's normaliser leaves it; None where that is left to the library."""
+        return piece.lower() if narrow(piece) and "İ" not in piece else None
+
+    @staticmethod
+    def joinable(word: str) -> bool:
+        return True
 
 
-def cut_before_words(text: str) -> list[str] | None:
-    """Pieces for a tokenizer whose split pattern takes a blank with what it stands before, and white space at most
-    up to such a blank: they begin at blanks before visible characters. None: it can't be cut."""
-    if _ODD.search(text):
-        return None
-    first, *rest = _AWAY.split(text) if _RUN.search(text) else text.split(" ")
-    return [first, *[f" {r}" for r in rest]]
+class Bytes:
+    """A tokenizer of bytes whose pattern takes a blank with what it stands before. Pieces begin at blanks before visible characters."""
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    sign = between = "\x0b"
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        first, *rest = _AWAY.split(text) if _RUN.search(text) else text.split(" ")
+        return [first, *[f" {r}" for r in rest]]
+
+    @staticmethod
+    def simple(piece: str) -> bool:
+        return piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+
+    @staticmethod
+    def plain(piece: str) -> str | None:
+        return piece
+
+    @staticmethod
+    def joinable(word: str) -> bool:
+        """White space would run into the sign."""
+        return not word[-1].isspace() and (word[0] == " " or not word[0].isspace())
 
 
 class PieceEncoder:
-    def __init__(self, path: str, cut: Callable[[str], list[str] | None]):
+    def __init__(self, path: str, style: type[Words] | type[Bytes]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cut = Tokenizer.from_file(path), cut
+        self.tokenizer, self.style, self.split = Tokenizer.from_file(path), style, Splitter(style.pattern)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(style.sign, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: tuple[str, ...]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([self.style.between.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(words) - 1:
+            return self.whole(list(words))
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(raw)], strict=True)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        split, plain, simple = self.split, self.style.plain, self.style.simple
+        known, sign, joinable = self.known, self.style.sign, self.style.joinable
+        easy, parts = {p for p in pieces if simple(p)}, {}
+        hard = []
+        for piece in pieces:
+            if piece not in easy:
+                text = plain(piece)
+                if text is None:
+                    hard.append(piece)
+                else:
+                    parts[piece] = split(text)
+        for word in {w for ws in parts.values() for w in ws} - known.keys() - easy:
+            (easy.add if sign not in word and joinable(word) else hard.append)(word)
+        for some in batched(easy, JOINED):
+            known.update(zip(some, self._joined(some), strict=True))
+        known.update(zip(hard, self.whole(hard), strict=True))
+        of = known.__getitem__
+        for piece, words in parts.items():
+            known[piece] = b"".join(map(of, words))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Unsigned 32-bit little-endian ids of each text."""
-        pieces = [self.cut(t) for t in texts]
-        needed = set().union(*(p for p in pieces if p))
-        missing = list(needed - self.memo.keys())
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
-            self.memo.clear()
-            missing = list(needed)
-        self.memo.update(zip(missing, self.whole(missing), strict=True))
-        known = self.memo.__getitem__
-        return [self.whole([t])[0] if p is None else b"".join(map(known, p)) for t, p in zip(texts, pieces, strict=True)]
+        cut = [None if _ODD.search(t) else self.style.cut(t) for t in texts]
+        needed = set().union(*(p for p in cut if p))
+        missing = needed - self.known.keys()
+        if len(self.known) + len(missing) > MEMO:
+            self.known.clear()
+            missing = needed
+        self._learn(list(missing))
+        of = self.known.__getitem__
+        return [self.whole([t])[0] if p is None else b"".join(map(of, p)) for t, p in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cut: Callable[[str], list[str] | None]) -> PieceEncoder:
+def encoder(path: str, style: type[Words] | type[Bytes]) -> PieceEncoder:
     """A worker's encoder; built once, kept between tasks."""
-    return PieceEncoder(path, cut)
+    return PieceEncoder(path, style)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm._common import map_arrow, slices
-from sluice.llm._tokens import cut_words, encoder
+from sluice.llm._tokens import Words, encoder
 
 #: Open windows of a task; beyond, they are poured together. Their tokens take 4 * window bytes each at most.
 MOST_OPEN = 4096
@@ -109,7 +109,7 @@ def _pack(path: str, window: int, end: int, kind: pa.DataType, batches: Iterator
     from pyspark import TaskContext
 
     base = TaskContext.get().partitionId() << 40
-    coder, packer, last = encoder(path, cut_words), Packer(window), array("I", [end]).tobytes()
+    coder, packer, last = encoder(path, Words), Packer(window), array("I", [end]).tobytes()
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def flush() -> pa.RecordBatch:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm._common import map_arrow, materialise, scratch_path, slices
-from sluice.llm._tokens import cut_before_words, encoder
+from sluice.llm._tokens import Bytes, encoder
 from sluice.llm.mph import MinimalPerfectHash, key_hash
 
 MAGIC = b"IDSHARD1"
@@ -67,7 +67,7 @@ def _write(folder: str, tokenizer: str, end: int, narrow: bool, batches: Iterato
     from pyspark import TaskContext
 
     files, root = pafs.FileSystem.from_uri(folder)
-    coder, last = encoder(tokenizer, cut_before_words), array("I", [end]).tobytes()
+    coder, last = encoder(tokenizer, Bytes), array("I", [end]).tobytes()
     name, out, keys, sizes = f"{uuid.uuid4().hex}.ids", None, array("q"), array("Q")
     try:
         for batch in slices(batches):
