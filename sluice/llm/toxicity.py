@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,28 +48,70 @@ _TOKEN = re.compile(r"\S+")
 
 def features(token: str) -> list[str]:
     """Words in a token, in lower case, and their beginnings (marked by a trailing star)."""
-    found = []
-    for word in _WORD.findall(token.lower()):
-        found.append(word)
-        found += [f"{word[:n]}*" for n in BEGINNINGS if len(word) > n]
-    return found
+    words = _WORD.findall(token.lower())
+    return words + [f for n in BEGINNINGS for f in _beginnings(words, n)]
+
+
+def _beginnings(words: list[str], n: int) -> list[str]:
+    return [f"{word[:n]}*" for word in words if len(word) > n]
+
+
+class _Places:
+    """The tokens of texts, as numbers, each with a number for the two tokens around it; equal places are kept once."""
+
+    def __init__(self, texts: list[str]):
+        numbers: dict[str, int] = {"": 0}
+        flat = array("i", [0])
+        for text in sorted(set(texts)):  # copies of a document count once
+            for token in text.lower().split():
+                flat.append(numbers.setdefault(token, len(numbers)))
+            flat.append(0)
+        at = np.array(flat, np.int64)
+        _, around = np.unique(at[:-2] * len(numbers) + at[2:], return_inverse=True)
+        inner = at[1:-1] > 0
+        pairs = np.unique(at[1:-1][inner] << 32 | around[inner])
+        self.tokens, self.token, self.around = list(numbers), pairs >> 32, pairs & 0xFFFFFFFF
+
+    def counts(self, n: int, only: dict[str, int] | None) -> dict[str, int]:
+        """Number of different surroundings of each feature of one sort: whole words (n = 0) or beginnings of n letters; of
+        those in `only` if it is given."""
+        numbers: dict[str, int] = {}
+        owner, feature = array("i"), array("i")
+        for k, token in enumerate(self.tokens):
+            words = [token] if token.isalpha() else _WORD.findall(token)
+            for f in set(_beginnings(words, n) if n else words):
+                if only is None or f in only:
+                    owner.append(k)
+                    feature.append(numbers.setdefault(f, len(numbers)))
+        own = np.array(feature, np.int64)
+        first = np.searchsorted(np.array(owner), np.arange(len(self.tokens) + 1))
+        many = np.diff(first)[self.token]
+        start = np.repeat(first[self.token] - np.cumsum(many) + many, many)
+        seen = np.unique(own[start + np.arange(len(start))] << 32 | np.repeat(self.around, many)) >> 32
+        return dict(zip(numbers, np.bincount(seen, minlength=len(numbers)).tolist(), strict=True))
+
+    def total(self) -> int:
+        """Surroundings of all features together."""
+        return sum(sum(self.counts(n, None).values()) for n in (0, *BEGINNINGS))
 
 
 def find_markers(toxic: list[str], clean: list[str]) -> dict[str, int]:
-    """Strength 1..STEPS-1 of each marker. Copies of a document share surroundings and so count once."""
-    places: list[dict[str, set[int]]] = [{}, {}]
-    for side, texts in enumerate((clean, toxic)):
-        for text in set(texts):
-            tokens = ["", *text.lower().split(), ""]
-            for before, token, after in zip(tokens, tokens[1:-1], tokens[2:], strict=False):
-                around = hash((before, after))
-                for f in features(token):
-                    places[side].setdefault(f, set()).add(around)
-    total = [sum(map(len, p.values())) + 1 for p in places]
+    """Strength 1..STEPS-1 of each marker. Copies of a document share surroundings and so count once.
+
+    Places are numbers in arrays and one sort of feature is counted at a time, so that the driver's memory stays a few
+    times that of the sample."""
+    places = _Places(toxic)
+    by_sort = {n: places.counts(n, None) for n in (0, *BEGINNINGS)}
+    total = [0, sum(sum(c.values()) for c in by_sort.values()) + 1]
+    often = {n: {f: k for f, k in c.items() if k >= LEAST_PLACES} for n, c in by_sort.items()}
+    del by_sort
+    places = _Places(clean)
+    total[0] = places.total() + 1
     found = {}
-    for f, seen in places[1].items():
-        if len(seen) >= LEAST_PLACES:
-            odds = math.log((len(seen) + 0.5) / total[1]) - math.log((len(places[0].get(f, ())) + 0.5) / total[0])
+    for n, kept in often.items():
+        other = places.counts(n, kept)
+        for f, k in kept.items():
+            odds = math.log((k + 0.5) / total[1]) - math.log((other.get(f, 0) + 0.5) / total[0])
             if odds >= LEAST_ODDS:
                 found[f] = 1 + min(STEPS - 2, int(odds - LEAST_ODDS))
     # a beginning says nothing of its own if a shorter one is as strong
