@@ -1,8 +1,7 @@
 """Ids by the tokenizers library, with texts cut where no token can cross and each part encoded once.
 
 Texts are cut into pieces at blanks, by plain string functions; a piece not met before that isn't a plain word is split into pre-tokens by the
-tokenizer's own pattern; pre-tokens not met before go to the library, many in one text with a sign between them that
-is a token of its own.
+tokenizer's own pattern; pre-tokens not met before go to the library's model, in its letters for bytes.
 """
 
 from __future__ import annotations
@@ -11,30 +10,32 @@ import os
 import re
 from array import array
 from functools import lru_cache
-from itertools import batched
-
-import numpy as np
 
 from sluice.llm._common import Splitter, narrow
 
 #: Pieces and pre-tokens that a worker remembers; a full memo starts anew.
 MEMO = 700_000
-#: Pre-tokens in one text for the library.
-JOINED = 2000
+#: Characters of the longest piece that is remembered.
+LONGEST = 128
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python only
 _AWAY = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?:\s|\Z)")
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_UNSEEN = [b for b in range(256) if b not in _SEEN]
+#: The letter that stands for each byte in the library's models: itself if it is visible in Latin-1, else the next from U+0100 on.
+_LETTERS = {b: chr(b if b in _SEEN else 256 + _UNSEEN.index(b)) for b in range(256)}
 
 
 class Words:
     """A tokenizer that ignores case and drops white space. Pieces: what stands between white space."""
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    sign, between = "\x01", " \x01 "
+
+    lead = shown_lead = ""
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        return text.split()
+    def cut(text: str) -> tuple[str, list[str]]:
+        return "", text.split()
 
     @staticmethod
     def simple(piece: str) -> bool:
@@ -46,89 +47,84 @@ class Words:
         """The piece as the tokenizer's normaliser leaves it; None where that is left to the library."""
         return piece.lower() if narrow(piece) and "İ" not in piece else None
 
-    @staticmethod
-    def joinable(word: str) -> bool:
-        return True
-
 
 class Bytes:
     """A tokenizer of bytes whose pattern takes a blank with what it stands before. Pieces begin at blanks before visible characters."""
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    sign = between = "\x0b"
+
+    #: What every piece but a text's first begins with, which pieces are remembered without; and the letter for it.
+    lead, shown_lead = " ", "\u0120"
 
     @staticmethod
-    def cut(text: str) -> list[str]:
+    def cut(text: str) -> tuple[str, list[str]]:
+        """The first piece, and the others without their lead."""
         first, *rest = _AWAY.split(text) if _RUN.search(text) else text.split(" ")
-        return [first, *[f" {r}" for r in rest]]
+        return first, rest
 
     @staticmethod
     def simple(piece: str) -> bool:
-        return piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+        return piece.isalpha()
 
     @staticmethod
     def plain(piece: str) -> str | None:
         return piece
 
-    @staticmethod
-    def joinable(word: str) -> bool:
-        """White space would run into the sign."""
-        return not word[-1].isspace() and (word[0] == " " or not word[0].isspace())
 
+class PieceEncoder(dict):
+    """Ids (unsigned, 32 bits, little-endian) of pieces, by what follows their lead; pieces not yet met are encoded when
+    looked up. Pre-tokens without the lead are remembered apart."""
 
-class PieceEncoder:
     def __init__(self, path: str, style: type[Words] | type[Bytes]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.style, self.split = Tokenizer.from_file(path), style, Splitter(style.pattern)
         self.tokenizer.encode_special_tokens = True
-        (self.mark,) = self.tokenizer.encode(style.sign, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {"": b""}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _joined(self, words: tuple[str, ...]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([self.style.between.join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        at = np.flatnonzero(ids == self.mark)
-        if len(at) != len(words) - 1:
-            return self.whole(list(words))
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), len(raw)], strict=True)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        split, plain, simple = self.split, self.style.plain, self.style.simple
-        known, sign, joinable = self.known, self.style.sign, self.style.joinable
-        easy, parts = {p for p in pieces if simple(p)}, {}
-        hard = []
-        for piece in pieces:
-            if piece not in easy:
-                text = plain(piece)
-                if text is None:
-                    hard.append(piece)
-                else:
-                    parts[piece] = split(text)
-        for word in {w for ws in parts.values() for w in ws} - known.keys() - easy:
-            (easy.add if sign not in word and joinable(word) else hard.append)(word)
-        for some in batched(easy, JOINED):
-            known.update(zip(some, self._joined(some), strict=True))
-        known.update(zip(hard, self.whole(hard), strict=True))
-        of = known.__getitem__
-        for piece, words in parts.items():
-            known[piece] = b"".join(map(of, words))
+        self.tokenize = self.tokenizer.model.tokenize
+        self.bare: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece with its lead, from those of its pre-tokens."""
+        text = self.style.plain(piece)
+        if text is None:
+            return self.whole(piece)
+        found, lead = [], self.style.lead
+        for word in self.split(text):
+            memo, key = (self, word[len(lead) :]) if word.startswith(lead) else (self.bare, word)
+            ids = memo.get(key)
+            if ids is None:
+                ids = self._model(word.encode().decode("latin-1").translate(_LETTERS))
+                if len(key) <= LONGEST:
+                    memo[key] = ids
+            found.append(ids)
+        return b"".join(found)
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) + len(self.bare) >= MEMO:
+            self.clear()
+            self.bare.clear()
+        ids = self._model(self.style.shown_lead + key) if key.isascii() and self.style.simple(key) else self.piece(self.style.lead + key)
+        if len(key) <= LONGEST:
+            self[key] = ids
+        return ids
+
+    def _text(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return self.whole(text)
+        first, rest = self.style.cut(text)
+        return self.piece(first) + b"".join(map(self.__getitem__, rest))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Unsigned 32-bit little-endian ids of each text."""
-        cut = [None if _ODD.search(t) else self.style.cut(t) for t in texts]
-        needed = set().union(*(p for p in cut if p))
-        missing = needed - self.known.keys()
-        if len(self.known) + len(missing) > MEMO:
-            self.known.clear()
-            missing = needed
-        self._learn(list(missing))
-        of = self.known.__getitem__
-        return [self.whole([t])[0] if p is None else b"".join(map(of, p)) for t, p in zip(texts, cut, strict=True)]
+        return [self._text(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
