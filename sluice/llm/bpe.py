@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.llm._common import Splitter, map_arrow, slices
 from sluice.llm.mph import MinimalPerfectHash, key_hash
 
-#: Entries of each memo of a worker; a full memo starts anew.
+#: Entries of each generation of a worker's memos. A full memo becomes the older generation, from which entries that are
+#: met again come back, so that frequent ones outlive the many that are met once.
 MEMO_ENTRIES = 300_000
 _AWAY = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?:\s|\Z)")
@@ -66,7 +67,9 @@ class Encoder:
         self.vocabulary, self.split = vocabulary, Splitter(pattern)
         self.single = [vocabulary.get(bytes([b])) for b in range(256)]
         self.words: dict[str, list[int]] = {}
+        self.older_words: dict[str, list[int]] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.pair = vocabulary.pairs.get
 
     def merge(self, word: bytes) -> list[int]:
@@ -105,19 +108,23 @@ class Encoder:
     def word(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            raw = word.encode()
-            whole = self.vocabulary.get(raw)
-            ids = self.merge(raw) if whole is None else [whole]
+            ids = self.older_words.get(word)
+            if ids is None:
+                raw = word.encode()
+                whole = self.vocabulary.get(raw)
+                ids = self.merge(raw) if whole is None else [whole]
             if len(self.words) >= MEMO_ENTRIES:
-                self.words.clear()
-            if len(raw) <= 64:
+                self.older_words, self.words = self.words, {}
+            if len(word) <= 64:
                 self.words[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        raw = array("i", [i for w in self.split(chunk) for i in self.word(w)]).tobytes()
+        raw = self.chunks.get(chunk) or self.older_chunks.get(chunk)
+        if raw is None:
+            raw = array("i", [i for w in self.split(chunk) for i in self.word(w)]).tobytes()
         if len(self.chunks) >= MEMO_ENTRIES:
-            self.chunks.clear()
+            self.older_chunks, self.chunks = self.chunks, {}
         if len(chunk) <= 64:
             self.chunks[chunk] = raw
         return raw
@@ -130,7 +137,7 @@ class Encoder:
         """
         if _ODD.search(text):
             return np.array([i for w in self.split(text) for i in self.word(w)], np.int32)
-        known, miss = self.chunks.get, self._chunk
+        known, miss = self.chunks.get, self._chunk  # of the generation at the text's start; miss looks in the current two
         first, *rest = _AWAY.split(text) if _RUN.search(text) else text.split(" ")
         found = [miss(first)]
         found += [known(c) or miss(c) for c in [f" {r}" for r in rest]]

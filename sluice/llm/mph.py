@@ -39,6 +39,7 @@ class MinimalPerfectHash:
         self.starts = np.cumsum([0, *sizes])[:-1].tolist()
         self._slot = np.where(bits, np.cumsum(bits) - 1, -1).astype(np.int64)
         self._list: list[int] | None = None
+        self._levels = [(size, start, _STEP * (level + 1) & _MASK) for level, (size, start) in enumerate(zip(sizes, self.starts, strict=True))]
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> MinimalPerfectHash:
@@ -60,10 +61,11 @@ class MinimalPerfectHash:
     def slot(self, h: int) -> int:
         if self._list is None:
             self._list = self._slot.tolist()
-        for level, (size, start) in enumerate(zip(self.sizes, self.starts, strict=True)):
-            x = h ^ (_STEP * (level + 1) & _MASK)
+        slots = self._list
+        for size, start, salt in self._levels:
+            x = h ^ salt
             x = (x ^ (x >> 32)) * _MIX & _MASK
-            at = self._list[start + (x ^ (x >> 32)) % size]
+            at = slots[start + (x ^ (x >> 32)) % size]
             if at >= 0:
                 return at
         return -1
