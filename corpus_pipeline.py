@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import langid, packing, pii, simhash, toxicity
+from sluice.llm import langid, near, packing, pii, toxicity
 from sluice.llm._common import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,8 +26,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies."""
-    return simhash.deduplicate(docs)
+    """The document of the smallest id of each group of near copies: texts of which 0.8 of the five-word shingles agree, and all they reach."""
+    return near.deduplicate(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

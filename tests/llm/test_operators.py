@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import ann, bpe, langid, media, mph, packing, pii, shards, simhash, toxicity, urls
+from sluice.llm import ann, bpe, langid, media, mph, near, packing, pii, shards, simhash, toxicity, urls
 from sluice.llm.components import connected_components
 
 ODD = [None, "", " ", "a", "The cat's  hat\n\n is 42, ñandú! ", "日本語 テスト", "\x1c\x85\xa0 x", "İstanbul Å", "ab" * 3000, "1." * 2000, "+" * 500, "\x0b\x01 \x01"]
@@ -343,3 +343,39 @@ def test_pipeline_keeps_columns(spark):
     assert 0 < out.count() <= docs.count()
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert packed.select("doc_id").distinct().count() == out.count()
+
+
+def _alike_classes(texts):
+    """Smallest index reachable by pairs of five-word Jaccard similarity of at least 0.8, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    of = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((of[i], of[j]))
+                of = [low if x == high else x for x in of] if low != high else of
+    return dict(enumerate(of))
+
+
+def test_near_copies(spark, none, monkeypatch):
+    """The stage leaves one document of each group of near copies, those of many changed bits among them."""
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    texts = [t for t in TEXTS if len(t or "") < 9000]
+    for _ in range(12):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice((12, 60, 400)))]
+        texts.append(" ".join(words))
+        for changed in (0.005, 0.01, 0.02, 0.03, 0.08):
+            texts.append(" ".join(w if rnd.random() > changed else "other" for w in words))
+    common = [f"c{i}" for i in range(300)]
+    texts += [" ".join([*common, f"end{i}"]) for i in range(40)]  # a large group
+    monkeypatch.setattr(near, "SLICE", 8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == set(_alike_classes(texts).values())
+    assert corpus_pipeline.drop_near_copies(spark, none, "").count() == 0
