@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm._common import map_arrow, materialise, slices
+from sluice.llm._common import map_arrow, materialise, one_of_each, slices
 from sluice.llm.components import connected_components
 
 WORDS, ALIKE = 5, 0.8
@@ -145,8 +145,5 @@ def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose key is the smallest of its component; of repeated keys all rows stay, null keys stay."""
-    found = grouped(docs, text)
-    least = found.groupBy("_component").agg(F.min(key).alias("_least"))
-    gone = found.join(least, "_component").where(F.col(key) != F.col("_least")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """One row of each group of near copies: the one of the smallest key, see `one_of_each`."""
+    return one_of_each(grouped(docs, text), "_component", "_row", key).select(*docs.columns)

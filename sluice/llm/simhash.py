@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import map_arrow, materialise, slices
+from sluice.llm._common import map_arrow, materialise, one_of_each, slices
 from sluice.llm.components import connected_components
 
 BITS = 64
@@ -201,10 +201,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of `docs` whose key is the smallest of its component; of repeated keys all rows stay, null keys stay."""
-    found = near_duplicates(docs, key, text, words, radius)
-    gone = found.where(F.col("component") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """One row of each component: the one of the smallest key, see `one_of_each`."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(rows, "_row", text, words, radius).select("_row", F.col("component").alias("_component"))
+    return one_of_each(rows.join(found, "_row"), "_component", "_row", key).select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,3 +379,12 @@ def test_near_copies(spark, none, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert kept == set(_alike_classes(texts).values())
     assert corpus_pipeline.drop_near_copies(spark, none, "").count() == 0
+
+
+@pytest.mark.parametrize("deduplicate", [near.deduplicate, simhash.deduplicate])
+def test_one_row_of_each_component(spark, deduplicate):
+    """Each component keeps one row, also where ids are repeated or null."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, d), (None, d), (5, d), (None, "alone")]
+    kept = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(1, a), (2, b), (4, c), (5, d), (None, "alone")], key=str)
