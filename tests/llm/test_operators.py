@@ -388,3 +388,11 @@ def test_one_row_of_each_component(spark, deduplicate):
     rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, d), (None, d), (5, d), (None, "alone")]
     kept = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in kept), key=str) == sorted([(1, a), (2, b), (4, c), (5, d), (None, "alone")], key=str)
+
+
+def test_redaction_of_overlapping_spans(spark):
+    """No part of a span that was found stays."""
+    texts = ["+1 555 010 2030.bob@mail.com is gone", "call +1 555 010 2030, bob@mail.com", "1.2.3.4@mail.com x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r.text for r in sorted(pii.redact(df).collect())]
+    assert clean == ["<PHONE><EMAIL> is gone", "call <PHONE>, <EMAIL>", "<EMAIL> x"]
