@@ -396,3 +396,78 @@ def test_redaction_of_overlapping_spans(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     clean = [r.text for r in sorted(pii.redact(df).collect())]
     assert clean == ["<PHONE><EMAIL> is gone", "call <PHONE>, <EMAIL>", "<EMAIL> x"]
+
+
+def test_pipeline_against_plain_version(spark, tmp_path):
+    """run() over planted rows gives what plain decisions on each document give."""
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    words = {lang: ["".join(rnd.choice(letters) for _ in range(5)) for _ in range(300)] for lang, letters in (("aa", "abcdefg"), ("bb", "hijklmno"))}
+    bad = ["Zorkface!", "zorkhead", "quibnit"]
+    rows, labels = [], []
+    for i in range(300):
+        lang = ("aa", "bb")[i // 2 % 2]
+        text = [rnd.choice(words[lang]) for _ in range(60)]
+        for _ in range(4 * (i % 4 == 0)):
+            text[rnd.randrange(60)] = rnd.choice(bad)
+        rows.append((i, " ".join(text), lang))
+        labels.append((i, int(i % 4 == 0)))
+    unlearned = (i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 5 == 0)
+    planted = {}
+
+    def plant(kind, text):
+        planted.setdefault(kind, []).append(i := next(unlearned))
+        rows.append((i, text, "aa"))
+
+    for k in (1, 2, 3, 5):
+        text = rows[k][1].split()
+        plant("toxic", " ".join([*text[:20], *bad, *text[20:40], *bad]))
+        plant("near", " ".join([*text[:30], "egg", *text[31:]]))
+        plant("far", " ".join([*text[:15], "egg", *text[16:45], "bed", *text[46:]]))
+        plant("foreign", "日本語の文章 です。 テスト データ " * 5)
+        plant("personal", " ".join([*(rnd.choice(words["aa"]) for _ in range(60)), f"bob{k}@mail.com", f"+1 555 010 203{k}.ann@mail.com"]))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labelled = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+
+    texts = {i: t for i, t, _ in rows}
+    scores = by_id(toxicity.score(docs, toxicity.learn(docs, labelled)))
+    left = sorted(i for i in texts if scores[i].score < 0.7)
+    clean = docs.where(F.col("doc_id").isin(left))
+    said = by_id(langid.identify(clean, langid.learn(clean)))
+    left = [i for i in left if said[i].lang_pred != "und" and said[i].score >= 0.3]
+    left = [left[k] for k in sorted(set(_alike_classes([texts[i] for i in left]).values()))]
+    assert not {*planted["toxic"], *planted["near"], *planted["foreign"]} & {*left}
+    assert {*planted["far"], *planted["personal"]} <= {*left} and len([i for i in left if i < 300]) > 200
+    spans = by_id(pii.detect(docs.where(F.col("doc_id").isin(left))))
+    path, ids = P.path("word_bpe_49k.json"), {}
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    for i in left:
+        out, past = "", 0
+        for at, back, kind in sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in spans[i].spans.split(",") if x)):
+            if -back > past:
+                out, past = out + texts[i][past:at] + f"<{kind.upper()}>", -back
+        ids[i] = [*library.encode(out + texts[i][past:], add_special_tokens=False).ids, 1]
+        assert i not in planted["personal"] or out.endswith("<EMAIL> <PHONE><EMAIL>") and past == len(texts[i])
+
+    seen = {i: [] for i in left}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(array("I", own).tobytes()))
+        seen[r.doc_id] += range(r.start, r.start + r.length)
+    assert all(sorted(seen[i]) == list(range(len(ids[i]))) for i in left)
+
+
+@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)])
+def test_registered_queries_run(spark, name):
+    """Each registered query, with its own parameters, says something of every row of its table."""
+    from sluice.llm import registry
+
+    query = next(f for k, f in registry.queries().items() if k.startswith(name))
+    table, key, out = {"op5_": ("pages", "page_id", "page_id"), "op6_": ("embeddings", "vec_id", "query_id")}.get(name, ("documents", "doc_id", "doc_id"))
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+    wanted = {r[0] for r in rows.where("vec_id % 50 = 0" if name == "op6_" else "true").select(key).collect()}
+    found = query(spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in found.select(out if out in found.columns else found.columns[0]).collect()} == wanted
