@@ -3,8 +3,8 @@
 Vectors are dealt into blocks by a hash of their ids. In a block each of PROJECTIONS random directions gives a sorted array of
 projections. A query opens a window around its own projection in each array; widening all windows together plays
 the part of coarser hash tables (virtual rehashing). Vectors that lie in enough windows are verified by their exact cosine.
-Widening ends once the k best verified are within the radius at which vectors hardly fail to collide, or
-a share BETA of the block has been verified. Equal vectors of a block are one entry with their smallest ids, so that
+Widening ends only once the k best verified are within the radius at which vectors hardly fail to collide; at
+the last width all of the block are verified. Equal vectors of a block are one entry with their smallest ids, so that
 a vector that very many rows share costs as much as any other.
 
 A stated set of queries meets all rows block by block: each block streams the queries past its index, so a task holds
@@ -32,11 +32,10 @@ BLOCK = 16384
 PROJECTIONS = 128
 #: Share of the windows that a vector must lie in to be verified.
 THRESHOLD = 0.62
-#: Share of a block's vectors to verify before giving up on a certain end.
-BETA = 0.08
+#: Blocks of at most so many vectors are verified whole.
 LEAST_VERIFIED = 64
 #: Half-widths of the windows, for unit vectors.
-WIDTHS = (0.3, 0.42, 0.58, 0.8, 1.1, 1.5, 2.2, np.inf)
+WIDTHS = (0.3, 0.36, 0.42, 0.5, 0.58, 0.68, 0.8, 0.94, 1.1, 1.28, 1.5, 1.75, np.inf)
 
 
 class BlockIndex:
@@ -56,27 +55,26 @@ class BlockIndex:
         projected = (self.vectors / self.norms[:, None]) @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
-        self.most = max(LEAST_VERIFIED, k + 1 + int(BETA * n))
         self.enough = int(np.ceil(THRESHOLD * PROJECTIONS))
 
-    def _bounds(self, centre: np.ndarray, half: float) -> tuple[list[int], list[int]]:
-        if np.isinf(half):
-            return [0] * PROJECTIONS, [len(self.vectors)] * PROJECTIONS
-        at = [(row.searchsorted(c - half), row.searchsorted(c + half, "right")) for row, c in zip(self.sorted, centre.tolist(), strict=True)]
-        return [a for a, _ in at], [b for _, b in at]
+    def _bounds(self, centre: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+        """For each width, where the windows begin and end."""
+        halves = np.array(WIDTHS)
+        lows = [row.searchsorted(c - halves) for row, c in zip(self.sorted, centre.tolist(), strict=True)]
+        highs = [row.searchsorted(c + halves, "right") for row, c in zip(self.sorted, centre.tolist(), strict=True)]
+        return np.array(lows).T.tolist(), np.array(highs).T.tolist()
 
     def search(self, query_id: int, query: np.ndarray) -> list[tuple[int, float]]:
         n = len(self.vectors)
         norm = np.sqrt((query * query).sum())
         scores = np.full(n, -np.inf)
-        if n <= self.most:
+        if n <= LEAST_VERIFIED:
             scores = (self.vectors * query).sum(axis=1) / (self.norms * norm)
         else:
             centre = (query / norm) @ self.directions
             counts, seen = np.zeros(n, np.int64), np.zeros(n, bool)
             lows = highs = None
-            for half in WIDTHS:
-                new_lows, new_highs = self._bounds(centre, half)
+            for half, new_lows, new_highs in zip(WIDTHS, *self._bounds(centre), strict=True):
                 if lows is None:
                     parts = [o[a:b] for o, a, b in zip(self.order, new_lows, new_highs, strict=True)]
                 else:
@@ -88,8 +86,6 @@ class BlockIndex:
                 seen[fresh] = True
                 scores[fresh] = (self.vectors[fresh] * query).sum(axis=1) / (self.norms[fresh] * norm)
                 verified = int(seen.sum())
-                if verified >= self.most:
-                    break
                 if verified > self.k:
                     # the query itself may be among them, so the k + 1st counts; |x - y|^2 = 2 - 2 cos
                     worst = np.partition(scores[seen], verified - self.k - 1)[verified - self.k - 1]

@@ -471,3 +471,16 @@ def test_registered_queries_run(spark, name):
     wanted = {r[0] for r in rows.where("vec_id % 50 = 0" if name == "op6_" else "true").select(key).collect()}
     found = query(spark, "/root/testdata/sf0.001")
     assert {r[0] for r in found.select(out if out in found.columns else found.columns[0]).collect()} == wanted
+
+
+@pytest.mark.parametrize("n, d", [(2000, 64), (1000, 128)])
+def test_nearest_of_vectors_without_clusters(n, d):
+    """Widening goes on until the nearest are found, however many are verified for it."""
+    x = np.random.default_rng(9).normal(size=(n, d))
+    index = ann.BlockIndex(np.arange(n), x, 5)
+    norms, hits = np.linalg.norm(x, axis=1), 0
+    for q in range(0, n, 50):
+        s = x @ x[q] / norms
+        s[q] = -np.inf
+        hits += len({i for i, _ in index.search(q, x[q])} & {*np.argsort(-s)[:5].tolist()})
+    assert hits / (5 * len(range(0, n, 50))) >= 0.99
