@@ -185,9 +185,13 @@ def _buffers(ts: list[str]) -> list[str]:
             end = _close(ts, i + 1)
             n, rest = int(ts[i + 5]), ts[i + 7 : end]
             upper = [t.upper() for t in rest]
-            for stop in ("EMIT", "EXPIRE"):
-                if stop in upper:
-                    rest, upper = rest[: upper.index(stop)], upper[: upper.index(stop)]
+            if "EXPIRE" in upper:
+                raise DialectError("EXPIRE AFTER isn't there for row buffers")
+            if "EMIT" in upper:
+                at = upper.index("EMIT")
+                if upper[at + 1 :] != ["EVERY", "RECORD"]:
+                    raise DialectError(f"{' '.join(upper[at:])} isn't there for row buffers")
+                rest, upper = rest[:at], upper[:at]
             k = len(out) - 1
             depth = 0
             while k >= 0:  # back to the name of the function

@@ -102,3 +102,11 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, ts timestamp, v double")
     assert joins.as_of(empty, empty.withColumnRenamed("v", "w"), ["id"], "ts", "ts", ["w"]).count() == 0
     assert joins.session_join(empty.select("id", F.col("ts").alias("a")), empty.select("id", F.col("ts").alias("b")), ["id"], "a", "b", "1 hour").count() == 0
+
+
+@pytest.mark.parametrize("end", ["EMIT ON BUFFER FULL", "EXPIRE AFTER INTERVAL '5' MINUTE INACTIVITY", "EXPIRE AFTER INTERVAL '5' MINUTE INACTIVITY EMIT EVERY RECORD"])
+def test_row_buffer_clauses_without_effect(end):
+    """What isn't translated is refused, not dropped."""
+    with pytest.raises(DialectError):
+        translate(f"SELECT AVG(x) OVER (ROWS WINDOW BUFFER 5 ROWS PARTITION BY k ORDER BY t {end}) AS m FROM s")
+    assert "4 PRECEDING" in translate("SELECT AVG(x) OVER (ROWS WINDOW BUFFER 5 ROWS PARTITION BY k ORDER BY t EMIT EVERY RECORD) AS m FROM s").sql
