@@ -4,7 +4,7 @@ Vectors are dealt into blocks by a hash of their ids. In a block each of PROJECT
 projections. A query opens a window around its own projection in each array; widening all windows together plays
 the part of coarser hash tables (virtual rehashing). Vectors that lie in enough windows are verified by their exact cosine.
 Widening ends only once the k best verified are within the radius at which vectors hardly fail to collide; at
-the last width all of the block are verified. Equal vectors of a block are one entry with their smallest ids, so that
+the last width all of the block are verified, so that there is no cap and small blocks need no rule of their own. Equal vectors of a block are one entry with their smallest ids, so that
 a vector that very many rows share costs as much as any other.
 
 A stated set of queries meets all rows block by block: each block streams the queries past its index, so a task holds
@@ -17,7 +17,7 @@ with fewer than k candidates all are given. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,71 +32,100 @@ BLOCK = 16384
 PROJECTIONS = 128
 #: Share of the windows that a vector must lie in to be verified.
 THRESHOLD = 0.62
-#: Blocks of at most so many vectors are verified whole.
-LEAST_VERIFIED = 64
-#: Half-widths of the windows, for unit vectors.
-WIDTHS = (0.3, 0.36, 0.42, 0.5, 0.58, 0.68, 0.8, 0.94, 1.1, 1.28, 1.5, 1.75, np.inf)
+#: Half-widths of the windows, for unit vectors; in the last one everything lies.
+WIDTHS = (0.35, 0.5, 0.65, 0.8, 0.95, 1.1, 1.25, 1.45, 1.75, 2.2, np.inf)
+#: A search ends once its k best are within this part of the half-width. A vector at that distance lies in a window with a
+#: chance of 0.71, so that it reaches the threshold with two standard deviations to spare; nearer ones have more.
+REACH = 0.95
+#: Ranks compared at once.
+CELLS = 1 << 17
+#: Queries of which the windows are looked up together.
+TOGETHER = 128
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes; their cosines stay the same to the last bit."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponent[:, None])
 
 
 class BlockIndex:
+    """Sorted projections of a block. Of each vector the rank in each array is kept: a window is a range of ranks, and the
+    vectors in it are told by one comparison of ranks."""
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         """ids and vectors of a block's rows; of each distinct vector the k + 1 smallest ids stay."""
         order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
+        ids, vectors = ids[order], _scaled(vectors[order])
         self.vectors, first, group = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
         by = np.argsort(group.ravel(), kind="stable")
         starts = np.searchsorted(group.ravel()[by], np.arange(len(self.vectors)))
         ends = np.append(starts[1:], len(by))
         self.ids = [ids[by[a : min(b, a + k + 1)]].tolist() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        self.units = self.vectors / self.norms[:, None]
         self.k = k
         n, d = self.vectors.shape
         self.directions = np.random.Generator(np.random.PCG64(d)).normal(size=(d, PROJECTIONS))
-        projected = (self.vectors / self.norms[:, None]) @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
-        self.enough = int(np.ceil(THRESHOLD * PROJECTIONS))
-
-    def _bounds(self, centre: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
-        """For each width, where the windows begin and end."""
-        halves = np.array(WIDTHS)
-        lows = [row.searchsorted(c - halves) for row, c in zip(self.sorted, centre.tolist(), strict=True)]
-        highs = [row.searchsorted(c + halves, "right") for row, c in zip(self.sorted, centre.tolist(), strict=True)]
-        return np.array(lows).T.tolist(), np.array(highs).T.tolist()
-
-    def search(self, query_id: int, query: np.ndarray) -> list[tuple[int, float]]:
-        n = len(self.vectors)
-        norm = np.sqrt((query * query).sum())
-        scores = np.full(n, -np.inf)
-        if n <= LEAST_VERIFIED:
-            scores = (self.vectors * query).sum(axis=1) / (self.norms * norm)
-        else:
-            centre = (query / norm) @ self.directions
-            counts, seen = np.zeros(n, np.int64), np.zeros(n, bool)
-            lows = highs = None
-            for half, new_lows, new_highs in zip(WIDTHS, *self._bounds(centre), strict=True):
-                if lows is None:
-                    parts = [o[a:b] for o, a, b in zip(self.order, new_lows, new_highs, strict=True)]
-                else:
-                    parts = [o[a:b] for o, a, b in zip(self.order, new_lows, lows, strict=True)]
-                    parts += [o[a:b] for o, a, b in zip(self.order, highs, new_highs, strict=True)]
-                counts += np.bincount(np.concatenate(parts), minlength=n)
-                lows, highs = new_lows, new_highs
-                fresh = np.flatnonzero((counts >= self.enough) & ~seen)
-                seen[fresh] = True
-                scores[fresh] = (self.vectors[fresh] * query).sum(axis=1) / (self.norms[fresh] * norm)
-                verified = int(seen.sum())
-                if verified > self.k:
-                    # the query itself may be among them, so the k + 1st counts; |x - y|^2 = 2 - 2 cos
-                    worst = np.partition(scores[seen], verified - self.k - 1)[verified - self.k - 1]
-                    if np.sqrt(max(0.0, 2 - 2 * worst)) <= half * 0.8:
-                        break
-        best = np.flatnonzero(scores > -np.inf)
-        if len(best) > self.k + 1:
-            # scores equal to the k + 1st stay, for ids to decide
-            best = best[scores[best] >= np.partition(scores[best], len(best) - self.k - 1)[len(best) - self.k - 1]]
-        found = [(i, float(scores[b])) for b in best.tolist() for i in self.ids[b] if i != query_id]
-        return sorted(found, key=lambda f: (-f[1], f[0]))[: self.k]
+        projected = (self.units @ self.directions).T
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        self.kind = np.uint16 if n < 1 << 16 else np.uint32
+        self.rank = np.empty((PROJECTIONS, n), self.kind)
+        np.put_along_axis(self.rank, order, np.arange(n, dtype=self.kind)[None, :], axis=1)
+        self.enough, self.first = int(np.ceil(THRESHOLD * PROJECTIONS)), 0
+
+    def _windows(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query, width and projection, the first rank of the window and the number of ranks."""
+        centre, halves = (units @ self.directions).T, np.array(WIDTHS)
+        lows = np.stack([row.searchsorted((c[:, None] - halves).ravel()) for row, c in zip(self.sorted, centre, strict=True)])
+        highs = np.stack([row.searchsorted((c[:, None] + halves).ravel(), "right") for row, c in zip(self.sorted, centre, strict=True)])
+        shape = (PROJECTIONS, len(units), len(halves))
+        return lows.astype(self.kind).reshape(shape).transpose(1, 2, 0), (highs - lows).astype(self.kind).reshape(shape).transpose(1, 2, 0)
+
+    def search(self, query_ids: list[int], queries: np.ndarray) -> list[list[tuple[int, float]]]:
+        """Of each query the k nearest, as (id, cosine)."""
+        found = []
+        for a in range(0, len(query_ids), TOGETHER):
+            some = _scaled(queries[a : a + TOGETHER])
+            units = some / np.sqrt((some * some).sum(axis=1))[:, None]
+            for query_id, query, unit, lows, spans in zip(query_ids[a : a + TOGETHER], some, units, *self._windows(units), strict=True):
+                found.append(self._nearest(query_id, query, unit, lows, spans))
+        return found
+
+    def _collisions(self, low: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """In how many of the windows each vector lies."""
+        count, some = np.zeros(len(self.vectors), np.uint8), max(1, CELLS // len(self.vectors))
+        for j in range(0, PROJECTIONS, some):
+            apart = self.rank[j : j + some] - low[j : j + some, None]  # ranks below the window wrap around to large numbers
+            count += np.add.reduce((apart < span[j : j + some, None]).view(np.uint8), axis=0, dtype=np.uint8)
+        return count
+
+    def _nearest(self, query_id: int, query: np.ndarray, unit: np.ndarray, lows: np.ndarray, spans: np.ndarray) -> list[tuple[int, float]]:
+        n, k = len(self.vectors), self.k
+        about = np.full(n, -np.inf)  # cosines of what is verified, in any order of summation
+        for step in range(self.first, len(WIDTHS)):
+            half = WIDTHS[step]
+            if np.isinf(half):
+                about = self.units @ unit
+                break
+            fresh = np.flatnonzero((self._collisions(lows[step], spans[step]) >= self.enough) & (about == -np.inf))
+            about[fresh] = self.units[fresh] @ unit
+            verified = np.flatnonzero(about > -np.inf)
+            if len(verified) > k:
+                # the query itself may be among them, so the k + 1st counts; |x - y|^2 = 2 - 2 cos
+                worst = np.partition(about[verified], len(verified) - k - 1)[len(verified) - k - 1]
+                if np.sqrt(max(0.0, 2 - 2 * worst)) <= half * REACH:
+                    break
+        # the next search begins a step narrower than this one ended: a window wider than needed only verifies more
+        self.first = max(0, step - 1)
+        best = np.flatnonzero(about > -np.inf)
+        if len(best) > k + 1:
+            # what may equal the k + 1st stays, for exact cosines and ids to decide
+            best = best[about[best] >= np.partition(about[best], len(best) - k - 1)[len(best) - k - 1] - 1e-9]
+        exact = (self.vectors[best] * query).sum(axis=1) / (self.norms[best] * np.sqrt((query * query).sum()))
+        near = [(i, float(s)) for b, s in zip(best.tolist(), exact.tolist(), strict=True) for i in self.ids[b] if i != query_id]
+        return sorted(near, key=lambda f: (-f[1], f[0]))[:k]
 
 
 def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +150,9 @@ def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             held = [(vec_id, v) for _, vec_id, v in members]
             index, indexed = BlockIndex(np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held]), k), (block, size)
             continue
-        for _, vec_id, v in members:
-            if indexed == (block, size):
-                found += [(vec_id, i, s) for i, s in index.search(vec_id, v)]
+        while indexed == (block, size) and (some := list(islice(members, TOGETHER))):
+            near = index.search([vec_id for _, vec_id, _ in some], np.array([v for _, _, v in some]))
+            found += [(vec_id, i, s) for (_, vec_id, _), own in zip(some, near, strict=True) for i, s in own]
             if len(found) >= 4096:
                 yield flush(found)
                 found = []
@@ -138,7 +167,7 @@ def nearest(vectors: DataFrame, k: int, queries: str, key: str = "vec_id", vecto
     blocks = max(1, -(-usable.count() // block))
     held = usable.select(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("size"), F.lit(0).alias("query"), "id", "v")
     asking = usable.where("asks").select("id", "v").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.size("v").alias("size"), F.lit(1).alias("query"), "id", "v")
-    dealt = held.union(asking).repartition("block", "size").sortWithinPartitions("block", "size", "query")
+    dealt = held.union(asking).repartition("block", "size").sortWithinPartitions("block", "size", "query", "id")  # the order of queries tells where windows begin
     near = map_arrow(dealt, _search, "query_id long, vec_id long, score double", k)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
