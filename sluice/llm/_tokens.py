@@ -75,13 +75,16 @@ class PieceEncoder(dict):
     """Ids (unsigned, 32 bits, little-endian) of pieces, by what follows their lead; pieces not yet met are encoded when
     looked up. Pre-tokens without the lead are remembered apart."""
 
-    def __init__(self, path: str, style: type[Words] | type[Bytes]):
+    def __init__(self, path: str, style: type[Words] | type[Bytes], special_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.style, self.split = Tokenizer.from_file(path), style, Splitter(style.pattern)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_text
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_text and t.special)]
+        #: Finds what the library takes for a token of its own before it splits a text.
+        self.added = re.compile("|".join(re.escape(t.content) for t in added), re.IGNORECASE).search if added else None
         self.tokenize = self.tokenizer.model.tokenize
         self.bare: dict[str, bytes] = {}
 
@@ -117,7 +120,7 @@ class PieceEncoder(dict):
         return ids
 
     def _text(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _ODD.search(text) or self.added and self.added(text):
             return self.whole(text)
         first, rest = self.style.cut(text)
         return self.piece(first) + b"".join(map(self.__getitem__, rest))
@@ -128,6 +131,7 @@ class PieceEncoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, style: type[Words] | type[Bytes]) -> PieceEncoder:
-    """A worker's encoder; built once, kept between tasks."""
-    return PieceEncoder(path, style)
+def encoder(path: str, style: type[Words] | type[Bytes], special_text: bool = False) -> PieceEncoder:
+    """A worker's encoder; built once, kept between tasks. The strings of special tokens in a text become these tokens, as
+    the library does by default, unless `special_text` makes them ordinary text."""
+    return PieceEncoder(path, style, special_text)

@@ -9,7 +9,9 @@ the index: the bits of a minimal perfect hash over the distinct keys and, for ea
 key and the first and last+1 of its documents; at the end the sizes of these sections. A key is found by one hash, one slot
 and one read; a key that isn't there is told by its fingerprint, with an error of 2^-32, and then by the stored key.
 
-Defined results: null text is empty: one id, the end. A null key is a key of its own and comes first. Rows of equal
+Shards are of about SHARD_BYTES of text, so that the keys and sizes that a task holds for its index follow the shard and not the
+table. Defined results: null text is empty: one id, the end. A null key is a key of its own and comes first; the key
+-2^63, which stands for it in files, raises an error. Rows of equal
 keys are all stored, in the order of their texts' digests. Empty tables give no shards and no rows. Only the key (long) and
 text columns are read.
 """
@@ -40,6 +42,9 @@ NULL_KEY = -(1 << 63)
 _TAIL = struct.Struct("<6Q8s")
 #: Ids read at once.
 READ_IDS = 1 << 22
+#: Bytes of text of a shard, about, with ROW_BYTES for each row; a table of so many bytes that this makes more than MOST_SHARDS
+#: has that many larger ones, so that the manifest stays small.
+SHARD_BYTES, ROW_BYTES, MOST_SHARDS = 32 << 20, 16, 1 << 16
 
 
 def _hashes(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -63,11 +68,11 @@ def _index(keys: np.ndarray) -> tuple[int, MinimalPerfectHash, np.ndarray, np.nd
     raise RuntimeError("no seed parts the keys")
 
 
-def _write(folder: str, tokenizer: str, end: int, narrow: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, tokenizer: str, end: int, narrow: bool, special_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     files, root = pafs.FileSystem.from_uri(folder)
-    coder, last = encoder(tokenizer, Bytes), array("I", [end]).tobytes()
+    coder, last = encoder(tokenizer, Bytes, special_text), array("I", [end]).tobytes()
     name, out, keys, sizes = f"{uuid.uuid4().hex}.ids", None, array("q"), array("Q")
     try:
         for batch in slices(batches):
@@ -185,20 +190,25 @@ def _lookup(folder: str, shards: list[Shard], batches: Iterator[pa.RecordBatch])
 
 
 class ShardSet:
-    """The shards of one table; `shards` has a row for each file, as many as there were partitions at most."""
+    """The shards of one table; `shards` has a row for each file, MOST_SHARDS at most."""
 
     def __init__(self, spark: SparkSession, folder: str, shards: list[Shard]):
         self.spark, self.folder, self.shards = spark, folder, shards
 
     @classmethod
-    def write(cls, docs: DataFrame, tokenizer: str, end: int = 0, key: str = "doc_id", text: str = "text", ids_below: int = 1 << 16) -> ShardSet:
+    def write(cls, docs: DataFrame, tokenizer: str, end: int = 0, key: str = "doc_id", text: str = "text", ids_below: int = 1 << 16, special_text: bool = False) -> ShardSet:
+        """Shards of the documents' ids, each followed by `end`. `special_text`: see `_tokens.encoder`."""
         spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "id-shards")
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
+        least = F.raise_error(F.lit(f"{NULL_KEY} is no key: it stands for null in the files")).cast("long")
         rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-        dealt = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
+        rows = rows.withColumn("key", F.when(F.col("key") == NULL_KEY, least).otherwise(F.col("key")))
+        size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+        n = max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+        dealt = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
         schema = "shard long, file string, first_key long, last_key long, n_docs long, n_ids long"
-        manifest = materialise(map_arrow(dealt, _write, schema, folder, tokenizer, end, ids_below <= 1 << 16), "id-manifest")
+        manifest = materialise(map_arrow(dealt, _write, schema, folder, tokenizer, end, ids_below <= 1 << 16, special_text), "id-manifest")
         shards, start = [], 0
         for r in sorted(manifest.collect(), key=lambda r: r.shard):
             shards.append(Shard(r.file, r.first_key, r.last_key, r.n_docs, r.n_ids, start))
