@@ -41,6 +41,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what `materialise` wrote for `df`, which nothing may read any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if not folder.toString().startswith(scratch_root(spark).replace("file://", "file:")) and not folder.toString().startswith(scratch_root(spark)):
+            raise ValueError(f"{folder} is not a scratch table")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: A key with more than this part of a table's rows is hot; there are fewer such keys than its inverse.
+HOT_PART = 1 / 10_000
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], n: str, n_rows: int) -> DataFrame:
+    """Inner join of `rows` with `one`, which has one row for each key and in column `n` the number of the key's rows, out
+    of `n_rows`. Hot keys, of which there are fewer than 1 / HOT_PART whatever the table's size, are broadcast; the others
+    are shuffled, and none of them has more than a ten-thousandth of the rows. `n` is dropped."""
+    limit = max(1, int(n_rows * HOT_PART))
+    hot, cold = one.where(F.col(n) > limit).drop(n), one.where(F.col(n) <= limit).drop(n)
+    met = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return met.unionByName(rest)
+
+
 def map_arrow(df: DataFrame, func: Callable, schema: str, *args: object, barrier: bool = False) -> DataFrame:
     """mapInArrow of the module-level `func(*args, batches)`; workers import it, so its module keeps state between tasks."""
     ship(df.sparkSession)

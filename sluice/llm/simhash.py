@@ -4,7 +4,8 @@ Fingerprints that differ in at most `radius` bits are linked. Of radius + 1 bloc
 share at least one, so each block value is a group in which links are searched by a hierarchical index: the
 fingerprints are sorted by Gray rank, runs of them become leaves, bits in which all of a run agree are factored
 out into its node, runs of nodes likewise into upper nodes; a search goes down with the differences found so far
-and drops every node at which they exceed the radius.
+and drops every node at which they exceed the radius. Groups are indexed together, whatever their sizes are, so that each
+link is found by the hierarchy.
 
 Defined results: null text is empty text; a text without words has fingerprint zero, which links like any other;
 equal texts and repeated rows share a fingerprint and so a component; an empty table gives an empty one. A null
@@ -14,7 +15,6 @@ id takes part, but can't name a component unless all ids of the component are nu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +29,30 @@ BITS = 64
 #: Fingerprints that one group indexes at once. Larger groups are cut into slices, and each fingerprint searches all
 #: slices up to its own, so that a group of any size is searched whole by many tasks of bounded memory.
 SLICE = 8192
+#: Fingerprints of whole groups that are indexed together, about, and those that search at once.
+CHUNK, TOGETHER = 2048, 256
 #: Fingerprints of a leaf, and children of an upper node.
 LEAF = 16
 #: Hashes summed at once for one text.
 BLOCK = 65536
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint of a text's word shingles; A-Z count as a-z."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each of a text's word shingles, repeats included; A-Z count as a-z."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return hashed(joined, seed)
+        return np.array([hashed(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     begins = [0, *(ends[:-1] + 1).tolist()]
     cuts = zip(begins[: len(parts) - words + 1], ends[words - 1 :].tolist(), strict=True)
-    hashes = np.array([hashed(joined[a:b], seed) for a, b in cuts], np.uint64)
+    return np.array([hashed(joined[a:b], seed) for a, b in cuts], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), BLOCK):
         some = hashes[at : at + BLOCK]
@@ -54,6 +60,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The unsigned fingerprint of a text's word shingles."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def _fingerprints(words: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = np.array([fingerprint(t, words, seed) for t in batch.column(1).to_pylist()], np.uint64)
@@ -89,82 +100,108 @@ class GrayIndex:
             own = mask if k + 1 == len(levels) else mask & ~np.repeat(levels[k + 1][0], LEAF)[: len(mask)]
             self.levels.append((own, bits & own))
 
-    def search(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Indexes (into the codes given) within the radius of a code."""
+    def search(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs within the radius: numbers of the codes searched, and of the indexed ones. The codes go down the
+        hierarchy together, each with the nodes that its differences so far leave."""
         mask, bits = self.levels[-1]
-        nodes, apart = np.arange(len(mask)), np.bitwise_count((code & mask) ^ bits).astype(np.int64)
-        for depth in range(len(self.levels) - 2, -1, -1):
-            keep = apart <= radius
-            nodes, apart = nodes[keep], apart[keep]
-            mask, bits = self.levels[depth]
-            children = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-            apart = np.repeat(apart, LEAF)
-            real = children < len(mask)
-            nodes, apart = children[real], apart[real]
-            apart = apart + np.bitwise_count((code & mask[nodes]) ^ bits[nodes])
-        return self.order[nodes[apart <= radius]]
+        asked, nodes = np.repeat(np.arange(len(codes), dtype=np.int32), len(mask)), np.tile(np.arange(len(mask), dtype=np.int32), len(codes))
+        apart = np.bitwise_count((codes[asked] & mask[nodes]) ^ bits[nodes])
+        for mask, bits in self.levels[-2::-1]:
+            keep = np.flatnonzero(apart <= radius)
+            asked, apart = np.repeat(asked[keep], LEAF), np.repeat(apart[keep], LEAF)
+            nodes = (nodes[keep, None] * LEAF + np.arange(LEAF, dtype=np.int32)).ravel()
+            if len(mask) % LEAF:
+                real = nodes < len(mask)
+                asked, apart, nodes = asked[real], apart[real], nodes[real]
+            apart += np.bitwise_count((codes[asked] & mask[nodes]) ^ bits[nodes])
+        keep = apart <= radius
+        return asked[keep], self.order[nodes[keep]]
+
+
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Let all pairs (a, b) have one root: each root of a pair moves to the lesser one until none is left to move."""
+    while True:
+        one, two = parent[a], parent[b]
+        apart = one != two
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+
+
+class _Chunk:
+    """Groups indexed together. What is linked is reduced to one link for each fingerprint at once, so that the memory follows
+    the chunk and TOGETHER, however many pairs there are."""
+
+    def __init__(self, radius: int):
+        self.radius, self.own, self.others, self.n_own, self.n_others = radius, [], [], 0, 0
+        self.index: GrayIndex | None = None
+
+    def _indexed(self) -> GrayIndex:
+        if self.index is None:
+            self.codes = np.concatenate(self.own)
+            self.index, self.parent = GrayIndex(self.codes), np.arange(self.n_own)
+        return self.index
+
+    def meet(self) -> pa.RecordBatch:
+        """Links of the others, which only search."""
+        codes, self.others, self.n_others = np.concatenate(self.others), [], 0
+        u, v = [codes[:0]], [codes[:0]]
+        for at in range(0, len(codes) if self.n_own else 0, TOGETHER):
+            some = codes[at : at + TOGETHER]
+            asked, near = self._indexed().search(some, self.radius)
+            both = np.concatenate([self.parent, np.arange(self.n_own, self.n_own + len(some))])
+            _join(both, asked + self.n_own, near)
+            self.parent = both[: self.n_own]
+            linked = np.unique(asked)
+            u.append(some[linked])
+            v.append(self.codes[both[self.n_own + linked]])
+        return _edges(np.concatenate(u), np.concatenate(v))
+
+    def links(self) -> pa.RecordBatch:
+        """Links among the chunk's own fingerprints, those by way of others included."""
+        if not self.n_own:
+            return _edges(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        index = self._indexed()
+        for at in range(0, self.n_own, TOGETHER):
+            asked, near = index.search(self.codes[at : at + TOGETHER], self.radius)
+            _join(self.parent, asked + at, near)
+        far = self.parent != np.arange(self.n_own)
+        return _edges(self.codes[far], self.codes[self.parent[far]])
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
 def _links(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group with the group's indexed fingerprints first. Gives a row for each link that joins parts
-    of the group not yet joined, which keeps all that is reachable."""
-
-    def rows() -> Iterator[tuple[tuple, int, int]]:
-        for batch in slices(batches, 4096):
-            yield from zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-
-    found: list[tuple[int, int]] = []
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
-        found.clear()
-        return out
-
-    for _, group in groupby(rows(), key=lambda r: r[0]):
-        codes: list[int] = []
-        index = unsigned = None
-        parent: list[int] = []
-
-        def root(i: int, parent: list[int] = parent) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        def join(near: list[int], root=root, codes=codes, parent=parent) -> None:
-            first = root(near[0])
-            for other in near[1:]:
-                if (r := root(other)) != first:
-                    found.append((codes[near[0]], codes[other]))
-                    parent[r] = first
-
-        for _, other, code in group:
-            if not other:
-                codes.append(code)
-                parent.append(len(parent))
-                continue
-            if index is None:
-                unsigned = np.array(codes, np.int64).view(np.uint64)
-                index = GrayIndex(unsigned)
-            near = index.search(np.uint64(code & 0xFFFFFFFFFFFFFFFF), radius).tolist()
-            if near:
-                found.append((code, codes[near[0]]))
-                join(near)
-            if len(found) >= 4096:
-                yield flush()
-        if len(codes) > 1:
-            if index is None:
-                unsigned = np.array(codes, np.int64).view(np.uint64)
-            if len(codes) <= 64:  # a few fingerprints are compared at once
-                near = np.bitwise_count(unsigned[:, None] ^ unsigned[None, :]) <= radius
-                lists = (np.flatnonzero(row).tolist() for row in near)
+    """Rows sorted by group with the group's indexed fingerprints first. Whole groups are indexed together, about CHUNK
+    fingerprints at once. Gives links enough to reach all that is reachable within the groups."""
+    chunk, now = _Chunk(radius), None
+    for batch in slices(batches, 4096):
+        group = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        codes = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        starts = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
+        for (*key, other), a, b in zip(group[:, starts].T.tolist(), starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
+            if key != now and (chunk.n_own >= CHUNK or chunk.index is not None or chunk.n_others):
+                if chunk.n_others:
+                    yield chunk.meet()
+                yield chunk.links()
+                chunk = _Chunk(radius)
+            now = key
+            if other:
+                chunk.others.append(codes[a:b])
+                chunk.n_others += b - a
+                if chunk.n_others >= 4096:
+                    yield chunk.meet()
             else:
-                index = index or GrayIndex(unsigned)
-                lists = (index.search(c, radius).tolist() for c in unsigned)
-            for i, near in enumerate(lists):
-                join([i, *(j for j in near if j != i)])
-                if len(found) >= 4096:
-                    yield flush()
-    yield flush()
+                chunk.own.append(codes[a:b])
+                chunk.n_own += b - a
+    if chunk.n_others:
+        yield chunk.meet()
+    yield chunk.links()
 
 
 def linked(prints: DataFrame, fp: str, radius: int = 3) -> DataFrame:
