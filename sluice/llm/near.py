@@ -1,9 +1,11 @@
 """Near copies of texts: pairs whose sets of word shingles have a Jaccard similarity of at least ALIKE, and all they reach.
 
-A text's set is reduced to BANDS keys of BAND minima each (MinHash). Texts that share a key are candidates: two of
-similarity 0.8 share none with a chance of (1 - 0.8^5)^25, about 1 in 20,000, and more similar ones with less. Candidates are verified
-by their whole sets, so what is linked is certain. Sets are only made for texts with candidates, and groups of the same
-texts under several keys are verified once.
+Candidates come from two sides. SimHash fingerprints of the shingles are linked within RADIUS bits through the Gray-order index of
+`simhash`, which finds copies with few changes. Pairs of similarity 0.8 differ in about 10 of 64 bits, a radius at which no
+index of such fingerprints leaves anything out; so a text's set is also reduced to BANDS keys of BAND minima each (MinHash), and
+texts that share a key are candidates: two of similarity 0.8 share none with a chance of (1 - 0.8^5)^25, about 1 in 20,000,
+and more similar ones with less. Candidates of both sides are verified by their whole sets, so what is linked is certain. Sets are only
+made for texts with candidates, and groups of the same texts under several keys are verified once.
 
 Defined results: A-Z count as a-z and white space only separates; null text is empty text; texts without words are
 equal; a text of fewer than WORDS words has one shingle, so equals only its like.
@@ -20,10 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import simhash
 from sluice.llm._common import map_arrow, materialise, one_of_each, slices
 from sluice.llm.components import connected_components
+from sluice.llm.simhash import majority, shingle_hashes
 
-WORDS, ALIKE = 5, 0.8
+WORDS, ALIKE, SEED = 5, 0.8, 42
+#: Bits in which linked fingerprints differ at most.
+RADIUS = 3
 BANDS, BAND = 25, 5
 #: Texts of a group that are held at once; of larger groups, each text meets all slices up to its own.
 SLICE = 512
@@ -36,16 +42,7 @@ _PLUS = _RNG.integers(0, 1 << 63, (BANDS * BAND, 1), dtype=np.uint64)
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
-    if len(parts) <= WORDS:
-        return np.array([hashed(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    begins = [0, *(ends[:-1] + 1).tolist()]
-    cuts = zip(begins[: len(parts) - WORDS + 1], ends[WORDS - 1 :].tolist(), strict=True)
-    return np.unique(np.array([hashed(joined[a:b]) for a, b in cuts], np.uint64))
+    return np.unique(shingle_hashes(text, WORDS, SEED))
 
 
 def keys_of(found: np.ndarray) -> list[int]:
@@ -60,12 +57,14 @@ def keys_of(found: np.ndarray) -> list[int]:
 
 
 def _sketches(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with the class (digest of the set) and keys of the text in column `at`."""
+    """The rows with the class (digest of the set), the keys and the fingerprint of the text in column `at`."""
     for batch in slices(batches):
-        sets = [shingles(t) for t in batch.column(at).to_pylist()]
+        hashes = [shingle_hashes(t, WORDS, SEED) for t in batch.column(at).to_pylist()]
+        sets = [np.unique(h) for h in hashes]
         classes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        columns = [pa.array(classes, pa.binary()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_class", "_keys"])
+        prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+        columns = [pa.array(classes, pa.binary()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_class", "_keys", "_fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +116,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(texts: DataFrame) -> DataFrame:
-    """Links (u, v) of similar classes among `texts` (class, keys, text; a row for each class)."""
-    keyed = materialise(texts.select("class", F.explode("keys").alias("key")), "near-keys")
+    """Links (u, v) of similar classes among `texts` (class, keys, fp, text; a row for each class)."""
+    prints = texts.groupBy("fp").agg(F.count("*").alias("n"))
+    reach = connected_components(materialise(simhash.linked(prints, "fp", RADIUS), "near-prints"), "u", "v")
+    reach = materialise(reach.select(F.col("node").alias("fp"), "component"), "near-reached")
+    alone = F.xxhash64(F.coalesce("component", "fp"), F.lit("print"))
+    by_print = texts.select("class", "fp").join(prints.join(reach, "fp", "left").where("n > 1 OR component IS NOT NULL").select("fp", alone.alias("key")), "fp").select("class", "key")
+    keyed = materialise(texts.select("class", F.explode("keys").alias("key")).union(by_print), "near-keys")
     # groups of the same classes have the same marks; one of them is enough
     marks = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
     groups = keyed.groupBy("key").agg(F.count("*").alias("size"), *marks).where("size > 1")
@@ -135,13 +139,13 @@ def linked(texts: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` with _row (a number of their own) and _component (equal for near copies); written to the shared folder."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = map_arrow(docs, _sketches, f"{kinds}, _class binary, _keys array<bigint>", docs.columns.index(text))
+    rows = map_arrow(docs, _sketches, f"{kinds}, _class binary, _keys array<bigint>, _fp bigint", docs.columns.index(text))
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     firsts = materialise(rows.groupBy("_class").agg(F.min("_row").alias("_row")).select("_row"), "near-classes")
-    texts = rows.join(firsts, "_row", "left_semi").select(F.col("_class").alias("class"), F.col("_keys").alias("keys"), F.col(text).alias("text"))
+    texts = rows.join(firsts, "_row", "left_semi").select(F.col("_class").alias("class"), F.col("_keys").alias("keys"), F.col("_fp").alias("fp"), F.col(text).alias("text"))
     reach = connected_components(materialise(linked(texts), "near-links"), "u", "v")
     reach = materialise(reach.select(F.col("node").alias("_class"), F.col("component").alias("_component")), "near-reach")
-    return rows.join(reach, "_class", "left").withColumn("_component", F.coalesce("_component", "_class")).drop("_class", "_keys")
+    return rows.join(reach, "_class", "left").withColumn("_component", F.coalesce("_component", "_class")).drop("_class", "_keys", "_fp")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

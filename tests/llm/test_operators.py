@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sluice.llm import ann, bpe, langid, media, mph, near, packing, pii, shards, simhash, toxicity, urls
+from sluice.llm import _common, ann, bpe, langid, media, mph, near, packing, pii, shards, simhash, toxicity, urls
 from sluice.llm.components import connected_components
 
 ODD = [None, "", " ", "a", "The cat's  hat\n\n is 42, ñandú! ", "日本語 テスト", "\x1c\x85\xa0 x", "İstanbul Å", "ab" * 3000, "1." * 2000, "+" * 500, "\x0b\x01 \x01"]
@@ -109,6 +109,8 @@ def test_links_in_slices(spark, monkeypatch):
     prints = dict(enumerate(sorted(codes)))
     signed = [(i, c - (1 << 64) if c >> 63 else c) for i, c in prints.items()]
     monkeypatch.setattr(simhash, "SLICE", 16)
+    monkeypatch.setattr(simhash, "CHUNK", 24)
+    monkeypatch.setattr(simhash, "TOGETHER", 7)
     edges = simhash.linked(spark.createDataFrame(signed, "i long, fp long"), "fp")
     of = {c: i for i, c in signed}
     named = spark.createDataFrame([(of[r.u], of[r.v]) for r in edges.collect()], "u long, v long")
@@ -120,8 +122,20 @@ def test_gray_index():
     rng = np.random.default_rng(2)
     codes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 4096, 800, dtype=np.uint64)]))
     index = simhash.GrayIndex(codes)
-    for c in codes[::37]:
-        assert sorted(index.search(c, 3).tolist()) == np.flatnonzero(np.bitwise_count(codes ^ c) <= 3).tolist()
+    asked, near = index.search(codes[::37], 3)
+    for k, c in enumerate(codes[::37]):
+        assert sorted(near[asked == k].tolist()) == np.flatnonzero(np.bitwise_count(codes ^ c) <= 3).tolist()
+    for n in (1, 2, 15, 16, 17, 257):
+        asked, near = simhash.GrayIndex(codes[:n]).search(codes[:n], 64)
+        assert len({*zip(asked.tolist(), near.tolist())}) == n * n
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    one = rows.groupBy("k").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    got = _common.spread_join(rows, one, ["k"], "n", 30_000)
+    assert got.columns == ["k", "v", "m"]
+    assert got.count() == 30_000 and got.where("m <> if(k = 7 AND v <> 7, 0, if(k = 7, 0, k))").count() == 0
 
 
 def test_components_of_a_chain(spark):
