@@ -202,6 +202,102 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.RULES).count() == 0
 
 
+def _plain_templates(rows, rules):
+    """template and purity of each url, by a plain tree for each host."""
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        kind = lambda s: re.sub(r"^(?=[0-9a-f]*[0-9])[0-9a-f]{8,}(?=$|\.)", "{h}", re.sub(r"^[0-9]+(?=$|\.)", "{n}", s))
+        return re.sub("[A-Z]", lambda m: m[0].lower(), host), path, [kind(s) for s in path.removeprefix("/").split("/")]
+
+    def rule(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name), default=None)
+
+    urls_ = [(i, *parts(u)) for i, u in rows]
+    urls_ = [(i, h, p, s, rule(h, p)) for i, h, p, s in urls_]
+    found = {}
+
+    def differs(part, of, share):
+        return of > 0 and abs(part - share * of) > urls.DIFFERENCE * (share * (1 - share) * of) ** 0.5
+
+    def count(some):
+        kinds = lambda level: [sum(len(s) == level for *_, s, _ in some), sum(len(s) > level and s[level].startswith("{") for *_, s, _ in some)]
+        return len(some), sum(r is not None for *_, r in some), sum(r is not None and r.block for *_, r in some), kinds
+
+    def grow(some, level, name, up):
+        n, labelled, blocked, _ = count(some)
+        children = {}
+        for u in some:
+            if len(u[3]) <= level:
+                found[u[0]] = (name, (blocked + urls.PRIOR_WEIGHT * up) / (labelled + urls.PRIOR_WEIGHT))
+            else:
+                children.setdefault(u[3][level], []).append(u)
+        inner = [u for c in children.values() for u in c]
+        if not inner:
+            return
+        of_n, of_l, of_b, of_kinds = count(inner)
+        of_kinds, ways = of_kinds(level + 1), {}
+        for seg, own in children.items():
+            k_n, k_l, k_b, k = count(own)
+            kinds = [*zip(k(level + 1), of_kinds), (k_n - sum(k(level + 1)), of_n - sum(of_kinds))]
+            alike = len(children) > 1 and not any(differs(x, k_n, y / of_n) for x, y in kinds) and not differs(k_b, k_l, of_b / max(1, of_l))
+            variable = len(children) > urls.MOST_CHILDREN and of_n < urls.FEW * len(children)
+            ways.setdefault("*" if variable or alike else seg, []).extend(own)
+        for step, own in ways.items():
+            _, l, b, _ = count(own)
+            grow(own, level + 1, f"{name}/{step}", (blocked - b + urls.PRIOR_WEIGHT * up) / (labelled - l + urls.PRIOR_WEIGHT))
+
+    for host in {u[1] for u in urls_}:
+        grow([u for u in urls_ if u[1] == host], 0, "", urls.PRIOR)
+    return {u[0]: (u[1], u[2], u[4].name if u[4] else None, *found[u[0]]) for u in urls_}
+
+
+def _same_as_plain_templates(got, rows):
+    want = _plain_templates(rows, urls.RULES)
+    blocking = {r.name for r in urls.RULES if r.block}
+    assert len(got) == len(rows)
+    for r in got:
+        host, path, rule, template, purity = want[r.page_id]
+        assert (r.host, r.path, r.rule, r.template) == (host, path, rule, template) and abs(r.purity - purity) < 1e-9
+        assert r.verdict == ("block" if rule in blocking or rule is None and purity >= urls.REJECT_FROM else "allow")
+    return {(r.rule is None, r.verdict) for r in got}
+
+
+def test_templates_against_plain_tree(spark):
+    """Merged branches, wildcards, deep paths, repeated and null rows, clashing columns."""
+    rnd, rows = random.Random(12), []
+
+    def add(url, times=1):
+        rows.extend([(len(rows) + k, url) for k in range(times)])
+
+    for k in range(40):  # labelled branches and one without labels that looks like them
+        add(f"http://bad.net/{rnd.choice(['es', 'fr', 'pt'])}/{k}")
+        add(f"http://shop.net/{rnd.choice(['es', 'fr'])}/{k}/x{k % 3}")
+        add(f"http://shop.net/about/{rnd.choice('ab')}")  # another shape: stays apart, but the rest of the host counts
+        add(f"http://free.org/{rnd.choice(['es', 'fr'])}/{k}")
+        add(f"http://many.net/u{k}/es")
+        add(f"http://mixed.example.com/{rnd.choice(['en', 'de'])}/{k}.html?q")
+    add("http://bad.net/es/1", 50)
+    add("http://deep.net/" + "/".join(["es", *"abcdefghijkl"]))
+    add("http://deep.net/es" + "/x" * 300)
+    for odd in (None, "", "no", "://", "http://", "http://h.net", "http://h.net/", "http://h.net//es//", "HTTP://H.NET/es/0123456789abcdef.html#x"):
+        add(odd, 2)
+    df = spark.createDataFrame([(i, u, "x", 1.0) for i, u in rows], "page_id long, url string, host string, n double").repartition(5)
+    kinds = _same_as_plain_templates(urls.judge(df, urls.RULES).collect(), rows)
+    assert kinds == {(True, "block"), (True, "allow"), (False, "block"), (False, "allow")}
+
+
+def test_registered_url_query_against_plain_tree(spark):
+    from sluice.llm import registry
+
+    for sf in ("sf0.001", "sf0.01"):
+        rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url").collect()]
+        _same_as_plain_templates(registry.queries()["op5_path_templates"](spark, f"/root/testdata/{sf}").collect(), rows)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 16)).astype(np.float32)
