@@ -2,11 +2,12 @@
 
 Labels are of documents, so tokens are labelled weakly first: a word, or the beginning of a word, that is met in
 many different surroundings in toxic documents and hardly ever in clean ones is a marker. A two-state chain
-is then trained on the tokens of the sample, whose observation is the token's marker strength in steps. Forward-backward
-marginals of marker tokens give the document's score through a logistic fit; runs of tokens whose marginal
+is then trained on the tokens of the sample. A token's features are its marker strength in steps, whether only a beginning of
+a word (an affix) says so, the strength of the tokens beside it, and whether it is shouted. Forward-backward
+marginals of markers and their neighbours give the document's score through a logistic fit; runs of tokens whose marginal
 reaches one half are the offending offsets.
 
-Between markers all tokens have the same observation, so the chain is multiplied through such a stretch at once, by
+Away from markers all tokens have the same features, so the chain is multiplied through such a stretch at once, by
 a power of a 2 x 2 matrix; results are those of going token by token. Tokens are parts between white space, of any
 number. Defined results: null text is empty; a text without markers gets the score that the fit gives to no evidence; if the
 sample lacks one of the two labels, every score is that label's share (0 without a sample). Equal texts, equal scores.
@@ -39,6 +40,12 @@ LEAST_PLACES, LEAST_ODDS = 4, 2.5
 BEGINNINGS = (4, 5, 6, 7)
 #: Marker strengths that the chain tells apart; 0 is no marker.
 STEPS = 6
+#: Numbers of values of a token's features: strength, affix only, strength beside it (none, weak, strong), shouted. Their
+#: combinations are numbered; 0 is a token that is no marker and has none beside it.
+PARTS = (STEPS, 2, 3, 2)
+CODES = math.prod(PARTS)
+#: Strength from which a neighbour is strong.
+STRONG = 3
 SEGMENT = 128
 ROUNDS = 150
 MEMO_ENTRIES = 300_000
@@ -56,6 +63,19 @@ def _beginnings(words: list[str], n: int) -> list[str]:
     return [f"{word[:n]}*" for word in words if len(word) > n]
 
 
+def parts_of(code: int) -> tuple[int, ...]:
+    """The features that a combination stands for."""
+    found = []
+    for n in reversed(PARTS):
+        found.append(code % n)
+        code //= n
+    return tuple(found[::-1])
+
+
+#: For each combination a row with a one for each value of a feature that it has.
+_FEATURES = np.array([[float(value == v) for value, n in zip(parts_of(c), PARTS, strict=True) for v in range(n)] for c in range(CODES)])
+
+
 class _Places:
     """The tokens of texts, as numbers, each with a number for the two tokens around it; equal places are kept once."""
 
@@ -172,15 +192,16 @@ def fit_chain(observed: list[np.ndarray], states: list[np.ndarray]) -> Chain:
     real = np.arange(SEGMENT)[None, :] < length[:, None]
     w = weight[:, None] * real
     inner = real[:, 1:] * weight[:, None]
-    seen_emit = np.bincount(obs.ravel(), (w * state).ravel(), STEPS)
+    seen_emit = np.bincount(obs.ravel(), (w * state).ravel(), CODES)
     seen_step = np.zeros((2, 2))
     np.add.at(seen_step, (state[:, :-1], state[:, 1:]), inner)
-    emit, step = np.zeros(STEPS), np.zeros((2, 2))
-    mean, square = np.zeros(STEPS + 4), np.zeros(STEPS + 4)
+    n = _FEATURES.shape[1]
+    weights, step = np.zeros(n), np.zeros((2, 2))
+    mean, square = np.zeros(n + 4), np.zeros(n + 4)
     total = w.sum()
     for t in range(1, ROUNDS + 1):
         e = np.ones((len(pairs), SEGMENT, 2))
-        e[:, :, 1] = np.exp(emit)[obs]
+        e[:, :, 1] = np.exp(_FEATURES @ weights)[obs]
         m = np.exp(step)
         alpha, beta = np.zeros_like(e), np.ones_like(e)
         alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
@@ -194,13 +215,13 @@ def fit_chain(observed: list[np.ndarray], states: list[np.ndarray]) -> Chain:
         both /= both.sum(axis=2, keepdims=True)
         pair = alpha[:, :-1, :, None] * m[None, None] * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
         pair /= pair.sum(axis=(2, 3), keepdims=True)
-        grad_emit = seen_emit - np.bincount(obs.ravel(), (w * both[:, :, 1]).ravel(), STEPS)
+        grad_weights = _FEATURES.T @ (seen_emit - np.bincount(obs.ravel(), (w * both[:, :, 1]).ravel(), CODES))
         grad_step = seen_step - (pair * inner[:, :, None, None]).sum(axis=(0, 1))
-        grad = np.concatenate([grad_emit, grad_step.ravel()]) / total - 1e-6 * np.concatenate([emit, step.ravel()])
+        grad = np.concatenate([grad_weights, grad_step.ravel()]) / total - 1e-6 * np.concatenate([weights, step.ravel()])
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         move = 0.15 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-12)
-        emit, step = emit + move[:STEPS], step + move[STEPS:].reshape(2, 2)
-    return Chain(emit, step)
+        weights, step = weights + move[:n], step + move[n:].reshape(2, 2)
+    return Chain(_FEATURES @ weights, step)
 
 
 def _evidence(marginals: list[float]) -> tuple[float, float]:
@@ -228,8 +249,14 @@ class Model:
     beta: np.ndarray
     share: float
 
-    def strength(self, token: str) -> int:
-        return max((self.markers.get(f, 0) for f in features(token)), default=0)
+    def own(self, token: str) -> int:
+        """Strength, affix and shout of a token by itself, as a combination without neighbours; 0 if it is no marker."""
+        found = [(self.markers.get(f, 0), f.endswith("*")) for f in features(token)]
+        strength = max((s for s, _ in found), default=0)
+        if not strength:
+            return 0
+        affix = all(a for s, a in found if s == strength)
+        return (strength * PARTS[1] + affix) * PARTS[2] * PARTS[3] + (token.isupper() or "!" in token)
 
     def score(self, marginals: list[float]) -> float:
         if self.chain is None:
@@ -245,7 +272,8 @@ def train(sample: list[tuple[int, str]]) -> Model:
     model = Model(find_markers(toxic, clean), None, np.zeros(3), len(toxic) / len(sample))
     tagger = _Tagger(model)
     observed = [tagger.observe(text.split()) for text in [*toxic, *clean]]
-    states = [(o > 0).astype(np.uint8) * (k < len(toxic)) for k, o in enumerate(observed)]
+    marker = np.array([parts_of(c)[0] > 0 for c in range(CODES)])
+    states = [marker[o] * np.uint8(k < len(toxic)) for k, o in enumerate(observed)]
     model.chain = fit_chain([o for o in observed if len(o)], [s.astype(np.uint8) for s in states if len(s)])
     x = np.array([[1.0, *_evidence(tagger.marginals(o))] for o in observed])
     model.beta = fit_logistic(x, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
@@ -253,7 +281,7 @@ def train(sample: list[tuple[int, str]]) -> Model:
 
 
 class _Tagger:
-    """A model with the strengths of tokens that a worker has met."""
+    """A model with what it says of the tokens that a worker has met by themselves."""
 
     def __init__(self, model: Model):
         self.model, self.memo = model, {}
@@ -263,8 +291,13 @@ class _Tagger:
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
         for token in set(tokens).difference(memo):
-            memo[token] = self.model.strength(token)
-        return np.frombuffer(bytes(map(memo.__getitem__, tokens)), np.uint8)
+            memo[token] = self.model.own(token)
+        own = np.frombuffer(bytes(map(memo.__getitem__, tokens)), np.uint8)
+        if not own.any():
+            return own
+        strength = own // (PARTS[1] * PARTS[2] * PARTS[3])
+        beside = np.maximum(np.append(strength[1:], 0), np.insert(strength[:-1], 0, 0))
+        return own + PARTS[3] * ((beside > 0) + (beside >= STRONG)).astype(np.uint8)
 
     def marginals(self, observed: np.ndarray) -> list[float]:
         at = np.flatnonzero(observed)
@@ -308,12 +341,17 @@ def _score(model: SharedModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["key", "score"])
 
 
-def _spans(model: SharedModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(model: SharedModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tagger = _tagger(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
     for batch in slices(batches):
-        found = [[dict(zip(("start", "end", "marginal"), s, strict=True)) for s in tagger.spans(t or "")] for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["key", "spans"])
+        scores, found = [], []
+        for text in batch.column(1).to_pylist():
+            marginals = tagger.marginals(tagger.observe((text or "").split()))
+            scores.append(tagger.model.score(marginals))
+            spans = tagger.spans(text) if max(marginals, default=0.0) >= 0.5 else []
+            found.append([dict(zip(("start", "end", "marginal"), s, strict=True)) for s in spans])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["key", "score", "spans"])
 
 
 def _kept(model: SharedModel, at: int, limit: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,11 +382,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return map_arrow(docs.select(key, text), _score, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double", shared)
 
 
-def tag(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and spans (start, end, marginal) of each row; offsets in characters."""
+def judged(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, score and spans (start, end, marginal) of each row; offsets in characters."""
     shared = SharedModel(docs.sparkSession, model)
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, spans array<struct<start:long,end:long,marginal:double>>"
-    return map_arrow(docs.select(key, text), _spans, schema, shared)
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, spans array<struct<start:long,end:long,marginal:double>>"
+    return map_arrow(docs.select(key, text), _judged, schema, shared)
+
+
+def tag(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and spans of each row."""
+    return judged(docs, model, key, text).select(key, "spans")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.7) -> DataFrame:
@@ -358,5 +401,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", limit: float =
 
 def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    found = score(docs, learn(docs, labels))
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    found = judged(docs, learn(docs, labels))
+    shown = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), shown.alias("toxic_spans"))

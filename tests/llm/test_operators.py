@@ -187,9 +187,35 @@ def test_pii(docs, spark, none):
 
 
 def test_em_ranks_labelers():
-    rates, post = pii.estimate({0b111: 50, 0b011: 10, 0b000: 100, 0b100: 15})
-    assert post[0b111] > 0.9 and post[0b000] < 0.1 and rates[0][0] > rates[0][1]
-    assert pii.estimate({}) == ([(0.8, 0.2)] * 3, {})
+    """Form and words agree; the third labeler votes at random and is told from them."""
+    yes, no = pii.YES, pii.NO
+    patterns = {yes + 3 * yes + 9 * yes: 25, yes + 3 * yes + 9 * no: 25, yes + 9 * yes: 5, no: 60, no + 9 * yes: 60, no + 9 * no: 60}
+    rates, post = pii.estimate(patterns)
+    assert post[yes + 3 * yes + 9 * no] > 0.9 and post[no + 9 * yes] < 0.1
+    apart = [abs(true[yes] - false[yes]) for true, false in rates]
+    assert apart[0] > 0.8 and apart[2] < 0.35
+    assert pii.estimate({}) == ([pii.START] * 3, {})
+
+
+def test_added_spans(spark):
+    """Secrets are told from long words and numbers by what was learned, also where no keyword stands before them."""
+    rnd = random.Random(3)
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows = [f'some words token = "{key(40)}" more' for _ in range(30)] + [f"see internationalisationword{chr(97 + i % 26)} here" for i in range(60)]
+    rows += [f"number {rnd.randrange(10**16, 10**17)} of them" for _ in range(20)]
+    bare, names = f"just {key(40)}, alone", "Dear Mr. John Smith, name: Dr. Ann Lee"
+    rows += [bare, names, "x" * 50_000, ""]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(rows)], "doc_id long, text string, secret string, row string")
+    found = {i: r.spans for i, r in by_id(pii.detect(df)).items()}
+    for i in range(30):
+        at = rows[i].index('"') + 1
+        assert found[i] == f"secret:{at}:{at + 40}"
+    assert not any("secret" in found[i] for i in range(30, 110)) and found[len(rows) - 4] == "secret:5:45"
+    assert found[len(rows) - 2] == found[len(rows) - 1] == ""
+    clean = pii.redact(df)
+    assert clean.columns == df.columns and by_id(clean)[0].secret == "a" and by_id(clean)[0].text == 'some words token = "<SECRET>" more'
+    rates = pii.fit(pii.searched(df, "text", ["doc_id"], False)).rates
+    assert rates.keys() == {"secret", "person"} and rates["secret"][0][0][pii.YES] > 0.8 > 0.2 > rates["secret"][0][1][pii.YES]
 
 
 def test_urls(spark):
@@ -340,10 +366,30 @@ def test_toxicity(spark, none):
     spans = by_id(toxicity.tag(docs, model))
     found = {rows[i][1][s.start : s.end].lower().strip("!") for i in held if i % 4 == 0 for s in spans[i].spans}
     assert found and all(w in ("zorkface", "zorkhead", "quibnit") for f in found for w in f.replace("!", "").split())
+    judged = by_id(toxicity.judged(docs, model))
+    assert all(judged[i].score == scores[i].score and judged[i].spans == spans[i].spans for i in scores)
     assert {r.doc_id for r in toxicity.keep_clean(docs, model).collect()} == {i for i in scores if scores[i].score < 0.7}
     assert toxicity.score(none, toxicity.learn(none, labels)).count() == 0
 
 
+def test_toxicity_of_awkward_texts(spark, docs, none):
+    """Null, empty and very long texts, clashing columns, and samples that lack a label."""
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(len(TEXTS))], "doc_id long, toxic int")
+    model = toxicity.train([(1, f"bad zorkface{chr(97 + i)} thing {i}") for i in range(30)] + [(0, f"a fine thing {i}") for i in range(90)])
+    long = spark.createDataFrame([(99, "fine " * 200_000 + "bad zorkfacex thing", "k", 1)], docs.schema)
+    found = by_id(toxicity.judged(docs.union(long), model))
+    assert len(found) == len(TEXTS) + 1 and found[0].score == found[1].score == found[2].score < 0.5
+    assert found[99].spans and all(1_000_000 <= s.start < s.end <= 1_000_013 for s in found[99].spans)
+    assert {r.score for r in toxicity.score(docs, toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
+    assert {r.score for r in toxicity.score(docs, toxicity.learn(docs, labels.withColumn("toxic", F.lit(1)))).collect()} == {1.0}
+
+
+def test_observations_know_neighbours():
+    tagger = toxicity._Tagger(toxicity.Model({"zork*": 5, "bad": 2}, None, np.zeros(3), 0.5))
+    codes = [toxicity.parts_of(int(c)) for c in tagger.observe("a fine BAD! zorkhead day of all".split())]
+    assert codes == [(0, 0, 0, 0), (0, 0, 1, 0), (2, 0, 2, 1), (5, 1, 1, 0), (0, 0, 2, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+
+
 def test_chain_stretches_equal_single_steps():
     chain = toxicity.Chain(np.array([-2.0, 1.0, 2.0, 3.0, 3.0, 3.0]), np.array([[1.0, -1.0], [-0.5, 0.5]]))
     obs = [0, 0, 2, 0, 0, 0, 0, 1, 3, 0]
