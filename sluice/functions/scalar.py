@@ -5,6 +5,7 @@ Times are epoch milliseconds in UTC unless a name says otherwise. Semantics are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -88,15 +89,21 @@ def datediff(unit: str, start: Column, end: Column) -> Column:
     raise ValueError(f"unknown unit {unit}")
 
 
+def first_match(pattern: str, replacement: str | None) -> tuple[str, str | None]:
+    """A pattern that takes all up to the end of the first match, and a replacement that puts back what stood before
+    it. The match sees the whole text, so that it may look around; references to groups move up by two."""
+    moved = re.sub(r"(?<!\\)((?:\\\\)*)\\([1-9])", lambda m: f"{m[1]}\\{int(m[2]) + 2}", pattern)
+    back = None if replacement is None else "$1" + re.sub(r"(?<!\\)\$([0-9])", lambda m: f"${int(m[1]) + 2}", replacement)
+    return rf"\A((?s:.*?))({moved})", back
+
+
 def regexp_replace_first(text: Column, pattern: str, replacement: str, flags: str = "") -> Column:
     """The first match replaced, or all with flag g; flag i ignores case."""
     p = f"(?i){pattern}" if "i" in flags else pattern
     if "g" in flags:
         return F.regexp_replace(text, p, replacement)
-    at = F.regexp_instr(text, F.lit(p))
-    first = F.regexp_extract(text, p, 0)
-    tail = F.substring(text, at + F.length(first), F.length(text))
-    return F.when(at == 0, text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), F.regexp_replace(first, p, replacement), tail))
+    first, back = first_match(p, replacement)
+    return F.regexp_replace(text, first, back)
 
 
 def json_path(path: str) -> str:

@@ -24,6 +24,9 @@ def stream_table(stream: DataFrame, table: DataFrame, keys: Sequence[str], missi
         return stream.join(table, list(keys), "inner")
     out = stream.join(table.withColumn("_hit", F.lit(True)), list(keys), "left")
     added = [c for c in table.columns if c not in keys]
+    if missing == "fail" and not added:
+        found = F.when(F.col("_hit"), F.col(keys[0])).otherwise(F.raise_error(F.lit("a row has no match in the table")))
+        return out.withColumn(keys[0], found).drop("_hit")
     if missing == "defaults":
         for name, value in (defaults or {}).items():
             out = out.withColumn(name, F.when(F.col("_hit"), F.col(name)).otherwise(F.lit(value)))
@@ -47,14 +50,20 @@ def within(left: DataFrame, right: DataFrame, keys: Column, left_ts: str, right_
     return left.join(right, keys & F.col(right_ts).between(lo, hi), how)
 
 
+def _windowed(side: DataFrame, ts: str, *window: str) -> DataFrame:
+    """A side with its windows. In a stream the window takes over as the event time, of which there may be only one."""
+    out = side.withColumn("window", F.window(ts, *window))
+    return out.withColumn(ts, F.expr(f"`{ts}` + INTERVAL 0 SECOND")) if side.isStreaming else out
+
+
 def tumbling_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, size: str, how: str = "inner") -> DataFrame:
     """Pairs of equal keys in the same window."""
-    return left.withColumn("window", F.window(left_ts, size)).join(right.withColumn("window", F.window(right_ts, size)), ["window", *keys], how)
+    return _windowed(left, left_ts, size).join(_windowed(right, right_ts, size), ["window", *keys], how)
 
 
 def sliding_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, size: str, advance: str, how: str = "inner") -> DataFrame:
     """Pairs of equal keys, once for each window that both are in."""
-    return left.withColumn("window", F.window(left_ts, size, advance)).join(right.withColumn("window", F.window(right_ts, size, advance)), ["window", *keys], how)
+    return _windowed(left, left_ts, size, advance).join(_windowed(right, right_ts, size, advance), ["window", *keys], how)
 
 
 def session_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, gap: str, how: str = "inner") -> DataFrame:

@@ -30,16 +30,22 @@ def with_scalar(df: DataFrame, other: DataFrame, value: Column, name: str) -> Da
     return df.crossJoin(F.broadcast(other.agg(value.alias(name))))
 
 
+def _compared(df: DataFrame, col: str, op: str, other: DataFrame, of: str, largest: bool) -> DataFrame:
+    """`df` with _holds (col against the extreme of the other column), _n (rows) and _nulls (null ones of them)."""
+    ends = other.agg((F.max(of) if largest else F.min(of)).alias("_end"), F.count("*").alias("_n"), (F.count("*") - F.count(of)).alias("_nulls"))
+    return df.crossJoin(F.broadcast(ends)).withColumn("_holds", F.expr(f"`{col}` {op} _end"))  # one row
+
+
 def compare_all(df: DataFrame, col: str, op: str, other: DataFrame, of: str) -> DataFrame:
-    """Rows for which `col op v` holds with every v; of none it holds. op is one of > >= < <=."""
-    end = F.max(of) if op[0] == ">" else F.min(of)
-    return with_scalar(df, other, end, "_end").where(F.col("_end").isNull() | F.expr(f"{col} {op} _end")).drop("_end")
+    """Rows for which `col op v` holds with every v; of none it holds, with a null it is unknown. op is one of > >= < <=."""
+    met = _compared(df, col, op, other, of, op[0] == ">")
+    return met.where((F.col("_n") == 0) | (F.col("_nulls") == 0) & F.col("_holds")).drop("_end", "_n", "_nulls", "_holds")
 
 
 def compare_any(df: DataFrame, col: str, op: str, other: DataFrame, of: str) -> DataFrame:
     """Rows for which `col op v` holds with some v."""
-    end = F.min(of) if op[0] == ">" else F.max(of)
-    return with_scalar(df, other, end, "_end").where(F.expr(f"{col} {op} _end")).drop("_end")
+    met = _compared(df, col, op, other, of, op[0] == "<")
+    return met.where("_holds").drop("_end", "_n", "_nulls", "_holds")
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

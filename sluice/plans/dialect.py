@@ -7,12 +7,12 @@ functions that differ. Everything else passes through as it is.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from sluice.functions.scalar import json_path, strftime_pattern
+from sluice.functions.scalar import first_match, json_path, strftime_pattern
 
-_TOKEN = re.compile(r"(?P<space>\s+)|(?P<note>--[^\n]*)|(?P<text>'(?:[^']|'')*')|(?P<name>`[^`]+`|[A-Za-z_][A-Za-z0-9_]*)|(?P<number>[0-9]+(?:\.[0-9]+)?[A-Za-z]*)|(?P<sign><=>|<>|!=|<=|>=|\|\||.)", re.S)
+_TOKEN = re.compile(r"(?P<space>\s+)|(?P<note>--[^\n]*)|(?P<text>'(?:[^']|'')*')|(?P<name>`[^`]+`|\x22[^\x22]+\x22|[A-Za-z_][A-Za-z0-9_]*)|(?P<param>\$[0-9]+)|(?P<number>[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?[A-Za-z]*)|(?P<sign><=>|<>|!=|<=|>=|\|\||.)", re.S)
 #: Suffixes of durations.
 UNITS = {"ns": ("microsecond", 0.001), "us": ("microsecond", 1), "ms": ("millisecond", 1), "s": ("second", 1), "m": ("minute", 1), "h": ("hour", 1), "d": ("day", 1), "w": ("week", 1)}
 _CLAUSES = ("SELECT", "FROM", "WHERE", "GROUP BY", "WINDOW", "HAVING", "ORDER BY", "LIMIT", "EMIT", "WITH")
@@ -33,10 +33,31 @@ class Query:
     options: dict[str, str] = field(default_factory=dict)
     window: str | None = None
     notes: dict[str, str] = field(default_factory=dict)
+    #: Length of the time window as an interval, for the watermark that a stream gets by default.
+    size: str | None = None
 
 
 def tokens(text: str) -> list[str]:
-    return [m.group() for m in _TOKEN.finditer(text) if m.lastgroup not in ("space", "note")]
+    found = [m.group() for m in _TOKEN.finditer(text) if m.lastgroup not in ("space", "note")]
+    return [f"`{t[1:-1]}`" if t[:1] == '"' and len(t) > 1 else t for t in found]
+
+
+def bound(text: str, params: Sequence[object]) -> str:
+    """The text with `$1`, `$2` and so on replaced by literals of the parameters; not within quotes."""
+
+    def literal(v: object) -> str:
+        if v is None or isinstance(v, bool):
+            return {None: "NULL", True: "TRUE", False: "FALSE"}[v]
+        return str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
+
+    def one(m: re.Match) -> str:
+        if m.lastgroup != "param":
+            return m.group()
+        if not 0 < int(m.group()[1:]) <= len(params):
+            raise DialectError(f"no parameter {m.group()}")
+        return literal(params[int(m.group()[1:]) - 1])
+
+    return _TOKEN.sub(one, text)
 
 
 def annotations(text: str) -> dict[str, str]:
@@ -113,13 +134,31 @@ def _extract(a: list[str]) -> str:
     return special.get(p, f"extract({p} FROM {t})")
 
 
+def _literal(text: str) -> str:
+    """A quoted literal with Spark's escapes; anything else as it is."""
+    return _quote(_unquote(text)) if text[:1] == "'" else text
+
+
 def _regexp_replace(a: list[str]) -> str:
     flags = _unquote(a[3]) if len(a) > 3 else ""
-    p = _quote(("(?i)" if "i" in flags else "") + _unquote(a[1]))
+    p = ("(?i)" if "i" in flags else "") + _unquote(a[1])
     if "g" in flags:
-        return f"regexp_replace({a[0]}, {p}, {a[2]})"
-    at, m = f"regexp_instr({a[0]}, {p})", f"regexp_extract({a[0]}, {p}, 0)"
-    return f"CASE WHEN {at} = 0 THEN {a[0]} ELSE concat(substring({a[0]}, 1, {at} - 1), regexp_replace({m}, {p}, {a[2]}), substring({a[0]}, {at} + length({m}))) END"
+        return f"regexp_replace({a[0]}, {_quote(p)}, {_literal(a[2])})"
+    first, back = first_match(p, _unquote(a[2]) if a[2][:1] == "'" else None)
+    return f"regexp_replace({a[0]}, {_quote(first)}, {_quote(back) if back is not None else f'concat({_quote(chr(36) + str(1))}, {a[2]})'})"
+
+
+def _trim(pattern: str) -> Callable[[list[str]], str]:
+    return lambda a: f"regexp_replace({a[0]}, {_quote(pattern)}, '')"
+
+
+def _struct(a: list[str]) -> str:
+    return f"named_struct({', '.join(a)})" if a and len(a) % 2 == 0 and all(x[:1] == "'" for x in a[::2]) else f"struct({', '.join(a)})"
+
+
+def _percentile(kind: str) -> Callable[[list[str]], str]:
+    """With two arguments, the value and the share; with one, the call before WITHIN GROUP."""
+    return lambda a: f"percentile_{kind}({a[1]}) WITHIN GROUP (ORDER BY {a[0]})" if len(a) > 1 else f"percentile_{kind}({a[0]})"
 
 
 def _json(a: list[str]) -> str:
@@ -134,7 +173,18 @@ CALLS: dict[str, Callable[[list[str]], str]] = {
     "JOIN": lambda a: f"concat_ws({', '.join(a)})",
     "SUBSTRING": lambda a: f"substring({a[0]}, greatest({a[1]}, 1){''.join(', ' + x for x in a[2:])})",
     "SPLIT_PART": lambda a: f"CASE WHEN {a[2]} < 1 THEN '' ELSE split_part({a[0]}, {a[1]}, greatest({a[2]}, 1)) END",
-    "REGEXP": lambda a: f"regexp_like({a[0]}, {a[1]})",
+    "REGEXP": lambda a: f"regexp_like({a[0]}, {_literal(a[1])})",
+    "TRIM": _trim(r"(?U)^\s+|\s+$"),
+    "LTRIM": _trim(r"(?U)^\s+"),
+    "RTRIM": _trim(r"(?U)\s+$"),
+    "SQRT": lambda a: f"CASE WHEN {a[0]} < 0 THEN raise_error('SQRT of a negative number') ELSE sqrt({a[0]}) END",
+    "STRUCT": _struct,
+    "PERCENTILE_CONT": _percentile("cont"),
+    "PERCENTILE_DISC": _percentile("disc"),
+    "CURRENT_TIMESTAMP": lambda a: "unix_millis(current_timestamp())",
+    "TIMESTAMP": lambda a: f"cast({a[0]} AS timestamp)" if a else "unix_millis(cast(_timestamp AS timestamp))",
+    "SET_HEADER": lambda a: f"map_concat(map_filter(_headers, (k, v) -> k <> {a[0]}), map({a[0]}, cast({a[1]} AS string)))",
+    "REMOVE_HEADER": lambda a: f"map_filter(_headers, (k, v) -> k <> {a[0]})",
     "REGEXP_REPLACE": _regexp_replace,
     "NOW": lambda a: "unix_millis(current_timestamp())",
     "EXTRACT": _extract,
@@ -166,7 +216,7 @@ def _calls(ts: list[str]) -> list[str]:
     i = 0
     while i < len(ts):
         name = ts[i].upper()
-        if i + 1 < len(ts) and ts[i + 1] == "(" and name in CALLS and not (name in ("LEFT", "RIGHT", "JOIN") and out[-1:] and out[-1].upper() in ("INNER", "OUTER", "LEFT", "RIGHT", "FULL")):
+        if i + 1 < len(ts) and ts[i + 1] == "(" and name in CALLS and not (name in ("LEFT", "RIGHT", "JOIN") and out[-1:] and out[-1].upper() in ("INNER", "OUTER", "LEFT", "RIGHT", "FULL")) and not (name == "JOIN" and ts[i + 2 : i + 3] and ts[i + 2].upper().startswith("SELECT")):
             end = _close(ts, i + 1)
             out.append(CALLS[name]([" ".join(_calls(a)) for a in _arguments(ts[i + 2 : end])]))
             i = end + 1
@@ -176,39 +226,90 @@ def _calls(ts: list[str]) -> list[str]:
     return out
 
 
-def _buffers(ts: list[str]) -> list[str]:
-    """`OVER (ROWS WINDOW BUFFER n ROWS ...)` as frames of the last n rows."""
-    out: list[str] = []
-    i = 0
-    while i < len(ts):
-        if ts[i].upper() == "OVER" and [t.upper() for t in ts[i + 1 : i + 5]] == ["(", "ROWS", "WINDOW", "BUFFER"]:
-            end = _close(ts, i + 1)
-            n, rest = int(ts[i + 5]), ts[i + 7 : end]
-            upper = [t.upper() for t in rest]
-            if "EXPIRE" in upper:
-                raise DialectError("EXPIRE AFTER isn't there for row buffers")
-            if "EMIT" in upper:
-                at = upper.index("EMIT")
-                if upper[at + 1 :] != ["EVERY", "RECORD"]:
-                    raise DialectError(f"{' '.join(upper[at:])} isn't there for row buffers")
-                rest, upper = rest[:at], upper[:at]
-            k = len(out) - 1
-            depth = 0
-            while k >= 0:  # back to the name of the function
-                depth += (out[k] == ")") - (out[k] == "(")
-                k -= 1
-                if not depth:
-                    break
-            frameless = out[k].upper() in _FRAMELESS
-            framed = "BETWEEN" in upper
-            if not framed and not frameless:
-                rest = [*rest, "ROWS", "BETWEEN", str(n - 1), "PRECEDING", "AND", "CURRENT", "ROW"]
-            out += ["OVER", "(", *rest, ")"]
-            i = end + 1
-        else:
-            out.append(ts[i])
-            i += 1
-    return out
+@dataclass
+class _Buffers:
+    """What the row buffers of a SELECT ask of the rest of the query: filters (partition and order, rows) for full
+    buffers, and islands (partition, order, span) after which they start anew."""
+
+    full: list[tuple[str, int]] = field(default_factory=list)
+    islands: list[tuple[str, str, str]] = field(default_factory=list)
+
+    def translated(self, ts: list[str]) -> list[str]:
+        """`OVER (ROWS WINDOW BUFFER n ROWS ...)` as frames of the last n rows."""
+        out: list[str] = []
+        i = 0
+        while i < len(ts):
+            if ts[i].upper() == "OVER" and [t.upper() for t in ts[i + 1 : i + 5]] == ["(", "ROWS", "WINDOW", "BUFFER"]:
+                end = _close(ts, i + 1)
+                out += ["OVER", "(", *self._frame(out, int(ts[i + 5]), ts[i + 7 : end]), ")"]
+                i = end + 1
+            else:
+                out.append(ts[i])
+                i += 1
+        return out
+
+    def _frame(self, out: list[str], n: int, rest: list[str]) -> list[str]:
+        upper = [t.upper() for t in rest]
+        at = min([upper.index(w) for w in ("EMIT", "EXPIRE") if w in upper], default=len(rest))
+        clauses, rest, upper = upper[at:], rest[:at], upper[:at]
+        raw = rest + [""]
+        framed = min([k for k, t in enumerate(upper) if t in ("ROWS", "RANGE")], default=len(rest))
+        body, frame = rest[:framed], rest[framed:]
+        while clauses:
+            if clauses[:3] == ["EMIT", "EVERY", "RECORD"]:
+                clauses = clauses[3:]
+            elif clauses[:4] == ["EMIT", "ON", "BUFFER", "FULL"]:
+                self.full.append((body, n))
+                clauses = clauses[4:]
+            elif clauses[:3] == ["EXPIRE", "AFTER", "NEVER"]:
+                clauses = clauses[3:]
+            elif clauses[:2] == ["EXPIRE", "AFTER"] and "INACTIVITY" in clauses:
+                till = clauses.index("INACTIVITY")
+                order = [t.upper() for t in body].index("ORDER") if "ORDER" in [t.upper() for t in body] else len(body)
+                if order == len(body):
+                    raise DialectError("EXPIRE AFTER needs an ORDER BY")
+                keys, by = body[:order], body[order + 2 :]
+                if "," in by:
+                    raise DialectError("EXPIRE AFTER needs an ORDER BY of one time column")
+                island = (" ".join(keys), " ".join(by[:1]), duration(clauses[2:till]))
+                if island not in self.islands:
+                    self.islands.append(island)
+                body = [*(keys + [","] if keys else ["PARTITION", "BY"]), f"_island{self.islands.index(island)}", *body[order:]]
+                if self.full and self.full[-1][0] == raw[: len(self.full[-1][0])]:
+                    self.full[-1] = (body, n)
+                clauses = clauses[till + 1 :]
+            else:
+                raise DialectError(f"{' '.join(clauses)} isn't there for row buffers")
+        k, depth = len(out) - 1, 0
+        while k >= 0:  # back to the name of the function
+            depth += (out[k] == ")") - (out[k] == "(")
+            k -= 1
+            if not depth:
+                break
+        if "BETWEEN" not in upper and out[k].upper() not in _FRAMELESS:
+            return [*body, "ROWS", "BETWEEN", str(n - 1), "PRECEDING", "AND", "CURRENT", "ROW"]
+        return [*body, *frame]
+
+    def applied(self, parts: dict[str, str]) -> str:
+        """The SQL of clauses with what the buffers ask for."""
+        if self.islands:
+            source = f"SELECT * FROM {parts['FROM']}" + (f" WHERE {parts.pop('WHERE')}" if "WHERE" in parts else "")
+            alias = parts["FROM"].split()[-1]
+            for k, (keys, order, span) in enumerate(self.islands):
+                over = f"OVER ({keys} ORDER BY {order}"
+                source = f"SELECT *, coalesce({order} > lag({order}) {over}) + INTERVAL {span}, false) AS _quiet{k} FROM ({source}) AS {alias}"
+                source = f"SELECT *, sum(cast(_quiet{k} AS int)) {over} ROWS UNBOUNDED PRECEDING) AS _island{k} FROM ({source}) AS {alias}"
+            parts["FROM"] = f"({source}) AS {alias}"
+        if not self.full:
+            return " ".join(f"{c} {parts[c]}" for c in _CLAUSES if c in parts)
+        names = []
+        for k, (body, n) in enumerate(self.full):
+            names.append(f"_full{k} >= {n}")
+            parts["SELECT"] += f", row_number() OVER ({' '.join(body)}) AS _full{k}"
+        inner = " ".join(f"{c} {parts[c]}" for c in _CLAUSES if c in parts and c not in ("ORDER BY", "LIMIT"))
+        outer = " ".join(f"{c} {parts[c]}" for c in ("ORDER BY", "LIMIT") if c in parts)
+        hidden = ", ".join(f"_full{k}" for k in range(len(self.full)))
+        return f"SELECT * EXCEPT ({hidden}) FROM ({inner}) WHERE {' AND '.join(names)} {outer}".strip()
 
 
 def _split(ts: list[str]) -> dict[str, list[str]]:
@@ -237,21 +338,23 @@ def _split(ts: list[str]) -> dict[str, list[str]]:
 
 def out_of_place(ts: list[str], i: int) -> bool:
     """Whether WINDOW is a column here."""
-    return i + 1 >= len(ts) or ts[i + 1].upper() not in ("TUMBLING", "SLIDING", "SESSION", "ROWS")
+    return i + 1 >= len(ts) or ts[i + 1].upper() not in ("TUMBLING", "SLIDING", "HOPPING", "SESSION", "ROWS")
 
 
-def _window(ts: list[str], time: str) -> tuple[str, str]:
+def _window(ts: list[str], time: str) -> tuple[str, str, str, list[str]]:
+    """Kind, call, length, and key (of a session) of a WINDOW clause."""
     kind = ts[0].upper()
     args = _arguments(ts[2 : _close(ts, 1)])
-    named = args and len(args[0]) == 1 and re.fullmatch(r"[A-Za-z_]\w*", args[0][0]) is not None
-    col = args.pop(0)[0] if named else time
-    if kind == "TUMBLING":
-        return kind, f"window({col}, '{duration(args[0])}')"
-    if kind == "SLIDING":
-        return kind, f"window({col}, '{duration(args[0])}', '{duration(args[1])}')"
-    if kind == "SESSION":
-        return kind, f"session_window({col}, '{duration(args[0])}')"
-    raise DialectError(f"unknown window {kind}")
+    named = args and re.fullmatch(r"(?:[A-Za-z_]\w*|`[^`]+`)(?:\.(?:[A-Za-z_]\w*|`[^`]+`))?", "".join(args[0])) is not None
+    col = "".join(args.pop(0)) if named else time
+    size = duration(args[0]) if args else ""
+    if kind == "TUMBLING" and len(args) == 1:
+        return kind, f"window({col}, '{size}')", size, []
+    if kind in ("SLIDING", "HOPPING") and len(args) == 2:
+        return kind, f"window({col}, '{size}', '{duration(args[1])}')", size, []
+    if kind == "SESSION" and len(args) in (1, 2):
+        return kind, f"session_window({col}, '{size}')", size, args[1] if len(args) > 1 else []
+    raise DialectError(f"unknown window {' '.join(ts)}")
 
 
 def _within(ts: list[str], time: str) -> list[str]:
@@ -274,27 +377,64 @@ def _within(ts: list[str], time: str) -> list[str]:
     return out
 
 
+def _operand(out: list[str]) -> list[str]:
+    """Takes the operand that ends a list of tokens: a call or brackets, a literal or a qualified name."""
+    start = len(out) - 1
+    if out[start] == ")":
+        depth = 0
+        while start >= 0:
+            depth += (out[start] == ")") - (out[start] == "(")
+            if not depth:
+                break
+            start -= 1
+        if start and re.fullmatch(r"\w+", out[start - 1]) and out[start - 1].upper() not in ("AND", "OR", "NOT", "WHERE", "IN", "ON"):
+            start -= 1
+    while start > 1 and out[start - 1] == ".":
+        start -= 2
+    taken = out[start:]
+    del out[start:]
+    return taken
+
+
 def _quantified(ts: list[str]) -> list[str]:
-    """`x > ALL (SELECT y ...)` and ANY by the extremes of y."""
+    """`x > ALL (SELECT y ...)` and ANY by the extremes and counts of y, with nulls as unknown."""
     out: list[str] = []
     i = 0
     while i < len(ts):
-        if ts[i].upper() in ("ANY", "ALL") and i and ts[i - 1] in ("<", ">", "<=", ">=") and ts[i + 1 : i + 2] == ["("] and ts[i + 2].upper() == "SELECT":
+        if ts[i].upper() in ("ANY", "SOME", "ALL") and i and ts[i - 1] in ("<", ">", "<=", ">=", "=", "<>", "!=") and ts[i + 1 : i + 2] == ["("] and ts[i + 2].upper() == "SELECT":
             end = _close(ts, i + 1)
-            body = _split(ts[i + 2 : end])
-            largest = (ts[i - 1][0] == ">") == (ts[i].upper() == "ALL")
-            col = " ".join(body["SELECT"])
+            body, every, op = _split(ts[i + 2 : end]), ts[i].upper() == "ALL", out.pop()
+            left, col = " ".join(_operand(out)), " ".join(body["SELECT"])
             rest = " ".join(f"{c} {' '.join(t)}" for c, t in body.items() if c != "SELECT")
-            query = f"(SELECT {'max' if largest else 'min'}({col}) {rest})"
-            if ts[i].upper() == "ALL":  # of nothing it holds
-                start = len(out) - 1
-                while start > 0 and (out[start - 1] == "." or out[start] == "."):
-                    start -= 1
-                left = out[start - 1 :] if out[start] in ("<", ">", "<=", ">=") else out[start:]
-                del out[len(out) - len(left) :]
-                out.append(f"coalesce({' '.join(left)} {query}, {query} IS NULL)")
+            if op in ("=", "<>", "!=") and every == (op != "="):
+                out.append(f"{left} {'NOT IN' if every else 'IN'} (SELECT {col} {rest})")
             else:
-                out.append(query)
+                n, nulls = f"(SELECT count(*) {rest})", f"(SELECT count(*) - count({col}) {rest})"
+                least, most = f"(SELECT min({col}) {rest})", f"(SELECT max({col}) {rest})"
+                if op == "=":
+                    holds = f"({left} = {least} AND {left} = {most})"
+                elif op in ("<>", "!="):
+                    holds = f"({left} <> {least} OR {left} <> {most})"
+                else:
+                    holds = f"{left} {op} {most if (op[0] == '>') == every else least}"
+                sure = f"WHEN NOT ({holds}) THEN false" if every else f"WHEN {holds} THEN true"
+                out.append(f"(CASE WHEN {n} = 0 THEN {str(every).lower()} {sure} WHEN {nulls} > 0 THEN NULL ELSE {holds} END)")
+            i = end + 1
+        else:
+            out.append(ts[i])
+            i += 1
+    return out
+
+
+def _subqueries(ts: list[str], time: str) -> list[str]:
+    """Bracketed SELECTs translated by themselves, but those of ANY and ALL."""
+    out: list[str] = []
+    i = 0
+    while i < len(ts):
+        inner = ts[i] == "(" and ts[i + 1 : i + 2] and ts[i + 1].upper() == "SELECT" and not (out and out[-1].upper() in ("ANY", "SOME", "ALL"))
+        if inner:
+            end = _close(ts, i)
+            out += ["(", translate(" ".join(ts[i + 1 : end]), time).sql, ")"]
             i = end + 1
         else:
             out.append(ts[i])
@@ -302,6 +442,23 @@ def _quantified(ts: list[str]) -> list[str]:
     return out
 
 
+def _sampled(select: list[str], keys: list[str]) -> list[str]:
+    """Plain columns of a grouped SELECT that aren't keys, as a value of the group."""
+    known = {" ".join(k).lower() for k in _arguments(keys)}
+    known |= {k.split(" . ")[-1] for k in known}
+    items = []
+    for item in _arguments(select):
+        name = [t for t in item]
+        alias = name[-1] if len(name) > 2 and name[-2].upper() == "AS" else None
+        body = name[:-2] if alias else name
+        plain = all(re.fullmatch(r"[A-Za-z_]\w*|`[^`]+`|\.", t) for t in body) and len(body) in (1, 3) and not body[0].upper().startswith("_WINDOW")
+        if plain and body[0].upper() not in ("NULL", "TRUE", "FALSE") and " ".join(body).lower() not in known and body[-1].lower() not in known:
+            items.append(["any_value", "(", *body, ")", "AS", alias or body[-1]])
+        else:
+            items.append(item)
+    return [t for k, item in enumerate(items) for t in ([","] if k else []) + item]
+
+
 def _options(ts: list[str]) -> dict[str, str]:
     """The pairs of `WITH ('name' = 'value', ...)`."""
     if not ts or ts[0] != "(":
@@ -318,13 +475,33 @@ def _options(ts: list[str]) -> dict[str, str]:
 def translate(text: str, time: str = "_timestamp") -> Query:
     """A SELECT of the dialect. `time` is the time column of windows and joins that name none."""
     ts = tokens(text.rstrip().rstrip(";"))
-    union = [i for i, t in enumerate(ts) if t.upper() == "UNION" and ts[:i].count("(") == ts[:i].count(")")]
-    if union:
-        cut = union[0]
+    if ts and ts[0].upper() == "WITH":  # common table expressions
+        head, i = ["WITH"], 1
+        while True:
+            opening = next(k for k in range(i, len(ts)) if ts[k] == "(" and ts[k - 1].upper() == "AS")
+            end = _close(ts, opening)
+            recursive = "RECURSIVE" in [t.upper() for t in head + ts[i:opening]]
+            body = " ".join(ts[opening + 1 : end]) if recursive else translate(" ".join(ts[opening + 1 : end]), time).sql
+            head += [*ts[i:opening], "(", body, ")"]
+            i = end + 1
+            if ts[i : i + 1] != [","]:
+                break
+            head.append(",")
+            i += 1
+        main = translate(" ".join(ts[i:]), time)
+        return Query(f"{' '.join(head)} {main.sql}", main.emit, main.options, main.window, annotations(text), main.size)
+    depth, sets = 0, []
+    for i, t in enumerate(ts):
+        depth += (t == "(") - (t == ")")
+        if not depth and t.upper() in ("UNION", "INTERSECT", "EXCEPT"):
+            sets.append(i)
+    if sets:
+        cut = sets[-1]  # from the left
+        word = ts[cut].upper()
         every = ts[cut + 1 : cut + 2] and ts[cut + 1].upper() == "ALL"
         left = translate(" ".join(ts[:cut]), time)
         right = translate(" ".join(ts[cut + 1 + bool(every) :]), time)
-        return Query(f"{left.sql} UNION {'ALL ' if every else ''}{right.sql}", right.emit, right.options, None, annotations(text))
+        return Query(f"{left.sql} {word} {'ALL ' if every else ''}{right.sql}", right.emit, right.options, None, annotations(text))
     parts = _split(ts)
     if "SELECT" not in parts:
         raise DialectError("only SELECT can be translated")
@@ -332,24 +509,36 @@ def translate(text: str, time: str = "_timestamp") -> Query:
     if emit not in (None, "CHANGES", "FINAL"):
         raise DialectError(f"unknown EMIT {emit}")
     options = _options(parts.pop("WITH")) if "WITH" in parts else {}
-    kind = None
+    kind = size = None
+    parts = {c: _subqueries(t, time) for c, t in parts.items()}
+    if "GROUP BY" in parts and not any(t.upper() in ("ROLLUP", "CUBE", "SETS", "ALL") for t in parts["GROUP BY"]):
+        parts["SELECT"] = _sampled(parts["SELECT"], parts["GROUP BY"])
     if "WINDOW" in parts:
-        kind, call = _window(parts.pop("WINDOW"), time)
+        kind, call, size, key = _window(parts.pop("WINDOW"), time)
         selected = [t.upper() for t in parts["SELECT"]]
         if "(" not in selected:
             raise DialectError("a windowed SELECT needs an aggregate")
         keys = parts.get("GROUP BY", [])
+        if key and key not in _arguments(keys):
+            keys = [*keys, *([","] if keys else []), *key]
         parts["GROUP BY"] = [*keys, *([","] if keys else []), call]
         if kind == "SESSION":
-            parts["SELECT"] = [re.sub(r"\bwindow\.", "session_window.", t) for t in _calls(parts["SELECT"])]
+            for c in ("SELECT", "HAVING"):
+                if c in parts:
+                    parts[c] = [re.sub(r"\bwindow\.", "session_window.", t) for t in _calls(parts[c])]
     if "FROM" in parts:
         parts["FROM"] = _within(parts["FROM"], time)
-    ordered = []
+    buffers, done = _Buffers(), {}
     for clause in _CLAUSES:
         if clause in parts:
-            body = " ".join(_quantified(_calls(_buffers(parts[clause]))))
-            bound = "session_window" if kind == "SESSION" else "window"
-            body = re.sub(r"\b_WINDOW_(START|END)\b", lambda m, b=bound: f"unix_millis(cast({b}.{m[1].lower()} AS timestamp))", body, flags=re.I)
-            ordered.append(f"{clause} {body}")
-    sql = re.sub(r" ?\. ?", lambda m: m.group().strip(), " ".join(ordered)) if "'" not in " ".join(ordered) else " ".join(ordered)
-    return Query(sql, emit or (None if "GROUP BY" not in parts else "FINAL" if kind else "CHANGES"), options, kind, annotations(text))
+            body = " ".join(_quantified(_calls(buffers.translated(parts[clause]))))
+            name = "session_window" if kind == "SESSION" else "window"
+            body = re.sub(r"\b_WINDOW_(START|END)\b", lambda m, b=name: f"unix_millis(cast({b}.{m[1].lower()} AS timestamp))", body, flags=re.I)
+            done[clause] = _tight(body)
+    return Query(buffers.applied(done), emit or (None if "GROUP BY" not in parts else "FINAL" if kind else "CHANGES"), options, kind, annotations(text), size)
+
+
+def _tight(sql: str) -> str:
+    """Names without blanks around their dots; what is quoted stays as it is."""
+    cut = re.split(r"('(?:[^'\\]|\\.|'')*')", sql)
+    return "".join(p if k % 2 else re.sub(r"(?<=[\w`)\]]) \. (?=[\w`*])", ".", p) for k, p in enumerate(cut))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from sluice.functions.aggregate import AGGREGATES
 from sluice.functions.scalar import SCALARS
 from sluice.operators import relations
-from sluice.plans.dialect import DialectError, Query, tokens, translate
-from sluice.sources import adapters
+from sluice.plans import metrics
+from sluice.plans.dialect import DialectError, Query, annotations, bound, tokens, translate
+from sluice.sources import adapters, config
 
 
 def resolve_env(text: str, env: dict[str, str] | None = None) -> str:
@@ -30,6 +32,31 @@ def resolve_env(text: str, env: dict[str, str] | None = None) -> str:
     return re.sub(r"\$\{(\w+)(?::([^}]*))?\}", value, text)
 
 
+def bindings(options: dict[str, str]) -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]]]:
+    """Sources and sinks by name in the options of WITH: `name.type` ends with _source or _sink, or the name is `sink`. Options
+    of a `name.config_file` come first, with those of the files that it extends before."""
+    groups: dict[str, dict[str, str]] = {}
+    for key, value in options.items():
+        name, dot, option = key.partition(".")
+        if dot:
+            groups.setdefault(name, {})[option] = value
+    for name, own in groups.items():
+        if "config_file" in own:
+            groups[name] = config.load(own.pop("config_file")) | own
+    sinks = {n: o for n, o in groups.items() if "type" in o and (o["type"].endswith("_sink") or n == "sink")}
+    return {n: o for n, o in groups.items() if "type" in o and n not in sinks}, sinks
+
+
+def statements(text: str) -> list[str]:
+    """The statements of a text, parted by semicolons outside of quotes and notes."""
+    found, start = [], 0
+    for m in re.finditer(r"'(?:[^']|'')*'|--[^\n]*|;", text):
+        if m.group() == ";":
+            found.append(text[start : m.start()])
+            start = m.end()
+    return [t.strip() for t in [*found, text[start:]] if tokens(t)]
+
+
 @dataclass
 class Job:
     name: str
@@ -47,11 +74,16 @@ class Engine:
         self.tables: dict[str, DataFrame] = {}
         self.keys: dict[str, list[str]] = {}
         self.jobs: dict[str, Job] = {}
+        self.notes: dict[str, str] = {}
+        #: Watermark delays of streams.
+        self.delays: dict[str, str] = {}
 
     # catalogue
 
-    def register(self, name: str, df: DataFrame, table: bool = False, keys: list[str] | None = None) -> None:
+    def register(self, name: str, df: DataFrame, table: bool = False, keys: list[str] | None = None, watermark: str | None = None) -> None:
         (self.tables if table else self.streams)[name] = df
+        if watermark:
+            self.delays[name] = watermark
         if keys:
             self.keys[name] = keys
         df.createOrReplaceTempView(name)
@@ -61,6 +93,18 @@ class Engine:
         self.tables.pop(name, None)
         self.spark.catalog.dropTempView(name)
 
+    def register_function(self, name: str, function: Callable, returns: object = None) -> None:
+        """A scalar, grouped (pandas) or table function for queries. Its code goes to workers with the session's."""
+        if returns is None and hasattr(function, "_name") and function.__class__.__name__ == "UserDefinedTableFunction":
+            self.spark.udtf.register(name, function)
+        else:
+            self.spark.udf.register(name, function, returns) if returns is not None else self.spark.udf.register(name, function)
+
+    def run_file(self, path: str) -> list[DataFrame]:
+        """Runs the statements of a file, which end with semicolons, in order."""
+        with open(path) as f:
+            return [self.sql(t) for t in statements(f.read())]
+
     def explain(self, text: str) -> str:
         """The Spark SQL of a statement and its plan."""
         query = translate(text, self.time)
@@ -68,14 +112,15 @@ class Engine:
 
     # statements
 
-    def sql(self, text: str) -> DataFrame:
-        """Runs one statement; those that change the catalogue give a one-row result."""
-        text = resolve_env(text).strip().rstrip(";")
+    def sql(self, text: str, params: Sequence[object] = ()) -> DataFrame:
+        """Runs one statement; those that change the catalogue give a one-row result. `$1` and so on stand for parameters."""
+        self.notes = annotations(text)
+        text = re.sub(r"\A(?:\s*--[^\n]*(?:\n|\Z))+", "", bound(resolve_env(text).strip().rstrip(";"), params)).strip()
         words = [t.upper() for t in tokens(text)[:4]]
         if not words:
             raise DialectError("no statement")
         head = words[0]
-        if head == "SELECT":
+        if head in ("SELECT", "WITH"):
             return self.select(text)
         if head == "CREATE":
             return self._create(text)
@@ -93,13 +138,46 @@ class Engine:
         raise DialectError(f"unknown statement {head}")
 
     def select(self, text: str) -> DataFrame:
-        text = re.sub(r"FROM\s+'(\w+)://([^']+)'", lambda m: f"FROM {self._uri(m[1], m[2])}", text, flags=re.I)
-        into = re.search(r"\bINTO\s+(\w+)", text, re.I)
+        words, depth, into, kept = tokens(text), 0, None, []
+        k = 0
+        while k < len(words):
+            t = words[k]
+            depth += (t == "(") - (t == ")")
+            if t.upper() == "INTO" and not depth and k + 1 < len(words):
+                into, k = words[k + 1], k + 2
+                continue
+            uri = re.fullmatch(r"'(\w+)://([^']+)'", t) if kept and kept[-1].upper() in ("FROM", "JOIN") else None
+            kept.append(self._uri(uri[1], uri[2]) if uri else t)
+            k += 1
+        query = translate(" ".join(kept), self.time)
+        query.notes = self.notes | annotations(text)
+        sources, sinks = bindings(query.options)
+        for name, options in sources.items():
+            if name not in self.streams and name not in self.tables:
+                self.register(name, adapters.bind(self.spark, options))
+        self._watermark(query, {t.strip("`") for t in kept})
+        df = metrics.observed(self.spark.sql(query.sql), query.notes)
         if into:
-            df = self.select(text[: into.start()] + text[into.end() :])
-            return self._append(into[1], df)
-        self.last: Query = translate(text, self.time)
-        return self.spark.sql(self.last.sql)
+            if into in sinks:
+                df = self._rows([(into, "written")], "name string, status string") if self._write(df, sinks[into], query.emit) is None else df
+            else:
+                df = self._append(into, df)
+        self.last: Query = query
+        return df
+
+    def _watermark(self, query: Query, words: set[str]) -> None:
+        """Streams in a windowed query get the watermark that was asked for, else half of the window's length: later rows
+        correct windows until then, and EMIT FINAL waits for it."""
+        for name, df in self.streams.items():
+            if name in words and df.isStreaming and self.time in df.columns:
+                delay = query.options.get(f"{name}.watermark") or self.delays.get(name)
+                if delay or query.size:
+                    limit = delay or self.spark.sql(f"SELECT cast(INTERVAL {query.size} / 2 AS string) AS h").first()[0]
+                    df.withWatermark(self.time, limit).createOrReplaceTempView(name)
+
+    def _write(self, df: DataFrame, options: dict[str, str], emit: str | None) -> object:
+        rest = {k: v for k, v in options.items() if k not in ("type", "path", "topic")}
+        return adapters.write(df, options["type"], options.get("path") or options.get("topic", ""), rest, emit)
 
     def _uri(self, scheme: str, path: str) -> str:
         name = f"uri_{abs(hash((scheme, path)))}"
@@ -121,23 +199,29 @@ class Engine:
             raise DialectError("CREATE STREAM or TABLE name AS SELECT is expected")
         keys = [k[0] for k in re.findall(r"(\w+)\s+(PRIMARY\s+KEY)", m[3], re.I)]
         df = self.select(re.sub(r"\s+PRIMARY\s+KEY", "", m[3], flags=re.I))
-        query = self.last
-        for name in [n for n in query.options if n.endswith(".type") and not n.startswith("sink")]:
-            del query.options[name]
-        sink = {k.split(".", 1)[1]: v for k, v in query.options.items() if k.startswith("sink.")}
-        if keys and m[1].upper() == "TABLE":
-            df = df.dropDuplicates(keys)
-        self.register(m[2], df, m[1].upper() == "TABLE", keys)
-        job = self.jobs.setdefault(m[2], Job(m[2], text))
-        if sink:
-            job.query = adapters.write(df, sink.pop("type"), sink.pop("path"), sink, query.emit)
+        query, table = self.last, m[1].upper() == "TABLE"
+        _, sinks = bindings(query.options)
+        if keys and table and not df.isStreaming:
+            df = self._latest(df, m[3], keys)
+        self.register(m[2], df, table, keys)
+        job = self.jobs.setdefault(m[2], Job(m[2], m[3]))
+        for sink in sinks.values():
+            job.query = self._write(df, sink, query.emit)
         return self._rows([(m[2], "created")], "name string, status string")
 
+    def _latest(self, df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+        """Of each key the row of the latest time, if the query has the time column, else of the greatest values."""
+        rest = [c for c in df.columns if c not in keys]
+        order = [F.col(c) for c in ([self.time] if self.time in df.columns else []) + rest]
+        row = F.struct(*df.columns)
+        return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order) if order else F.lit(1)).alias("_r")).select("_r.*")
+
     def _append(self, name: str, df: DataFrame) -> DataFrame:
-        if name in self.tables:
-            self.register(name, self.tables[name].unionByName(df), True, self.keys.get(name))
-        else:
-            self.register(name, df, True)
+        old = self.tables.get(name, self.streams.get(name))
+        if old is not None and (old.isStreaming or df.isStreaming):
+            raise DialectError(f"rows can't be added to {name}: it is or gets an unbounded stream; bind a sink instead")
+        stream = name in self.streams and name not in self.tables
+        self.register(name, df if old is None else old.unionByName(df), not stream, self.keys.get(name))
         return self._rows([(name, "inserted")], "name string, status string")
 
     def _insert(self, text: str) -> DataFrame:
@@ -175,7 +259,7 @@ class Engine:
             "JOBS": [(j.name, j.status) for j in self.jobs.values()],
             "VERSIONS": [(j.name, j.version) for j in self.jobs.values()],
             "STATUS": [(j.name, j.status) for j in self.jobs.values()],
-            "TOPICS": [(n, "topic") for n in self.streams],
+            "TOPICS": [(n, "topic") for n, df in self.streams.items() if "_topic" in df.columns],
             "PROPERTIES": sorted((k, v) for k, v in self.spark.sparkContext.getConf().getAll() if k.startswith("spark.sql")),
             "METRICS": [(j.name, str(getattr(j.query, "lastProgress", None))) for j in self.jobs.values()],
         }
@@ -188,27 +272,46 @@ class Engine:
 
     def _job(self, text: str) -> DataFrame:
         words = tokens(text)
-        verb, name = words[0].upper(), words[2]
+        upper = [w.upper() for w in words]
+        verb, name = upper[0], words[3 if upper[2] == "FORCE" else 2] if upper[1] == "JOB" else words[2]
         if verb in ("START", "DEPLOY"):
-            body = re.search(r"\bAS\s+(SELECT.*)", text, re.I | re.S)
             version = re.search(r"VERSION\s+'([^']+)'", text, re.I)
             old = self.jobs.get(name)
             job = Job(name, text, version=version[1] if version else "1", history=[*(old.history if old else []), *([(old.version, old.text)] if old else [])])
+            if old:
+                self._halt(old)
             self.jobs[name] = job
-            if body:
-                self.register(name, self.select(body[1]))
+            self._run(job)
         elif name not in self.jobs:
             raise DialectError(f"no job {name}")
-        elif verb == "ROLLBACK":
-            job = self.jobs[name]
-            if not job.history:
-                raise DialectError(f"job {name} has no older version")
-            job.version, job.text = job.history.pop()
-            if body := re.search(r"\bAS\s+(SELECT.*)", job.text, re.I | re.S):
-                self.register(name, self.select(body[1]))
         else:
             job = self.jobs[name]
-            if verb in ("STOP", "PAUSE") and hasattr(job.query, "stop"):
-                job.query.stop()
-            job.status = {"STOP": "stopped", "PAUSE": "paused", "RESUME": "running"}[verb]
+            if verb == "ROLLBACK":
+                if not job.history:
+                    raise DialectError(f"job {name} has no older version")
+                self._halt(job)
+                job.version, job.text = job.history.pop()
+                self._run(job)
+            elif verb == "RESUME":
+                if job.status != "running":
+                    self._run(job)
+            else:
+                self._halt(job)
+                job.status = {"STOP": "stopped", "PAUSE": "paused"}[verb]
         return self._rows([(name, self.jobs[name].status)], "name string, status string")
+
+    def _halt(self, job: Job) -> None:
+        if hasattr(job.query, "stop"):
+            job.query.stop()
+        job.query = None
+
+    def _run(self, job: Job) -> None:
+        """Runs a job's query. An unbounded one goes on from its checkpoint, if it ran before."""
+        body = re.search(r"\bAS\s+((?:SELECT|WITH)\b.*)", job.text, re.I | re.S)
+        if not body and not job.text.lstrip()[:6].upper() == "SELECT":
+            raise DialectError(f"job {job.name} has no query")
+        df = self.select(body[1] if body else job.text)
+        self.register(job.name, df)
+        for sink in bindings(self.last.options)[1].values():
+            job.query = self._write(df, sink, self.last.emit)
+        job.status = "running"

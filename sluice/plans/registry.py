@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from sluice.functions import scalar as S
 from sluice.functions.aggregate import aggregate, first_value, last_value, listagg
-from sluice.operators import joins, relations, windows
+from sluice.operators import joins, relations, tables, windows
 from sluice.plans.engine import Engine
+from sluice.session import scratch
+from sluice.sources import adapters
+from sluice.streaming.stateful import keyed_table, read_keyed, row_buffer, split_late
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -246,21 +249,27 @@ def _equi_join(spark, d):
     return o.where("o_totalprice > 100000").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
 
 
-@_query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL OUTER JOIN (SELECT * FROM orders WHERE o_custkey % 2 = 0) o ON c.c_custkey = o.o_custkey")
+@_query("SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 3000) c FULL OUTER JOIN (SELECT * FROM orders WHERE o_totalprice > 100000) o ON c.c_custkey = o.o_custkey")
 def _full_join(spark, d):
-    c, o = _t(spark, d, "customer").where("c_custkey % 3 = 0"), _t(spark, d, "orders").where("o_custkey % 2 = 0")
+    c, o = _t(spark, d, "customer").where("c_acctbal > 3000"), _t(spark, d, "orders").where("o_totalprice > 100000")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_orderkey")
 
 
+@_query("SELECT c.c_name, o.o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 3000) c RIGHT JOIN orders o ON c.c_custkey = o.o_custkey")
+def _right_join(spark, d):
+    c = _t(spark, d, "customer").where("c_acctbal > 3000")
+    return c.join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "right").select("c_name", "o_orderkey")
+
+
 @_query("SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey < n.n_nationkey AND n.n_regionkey = 2")
 def _theta_join(spark, d):
     s, n = _t(spark, d, "supplier"), _t(spark, d, "nation").where("n_regionkey = 2")
     return s.join(F.broadcast(n), F.col("s_nationkey") < F.col("n_nationkey")).select("s_suppkey", "n_nationkey")  # 25 nations at any scale
 
 
-@_query("SELECT e.event_id, e.user_id, coalesce(c.c_mktsegment, 'unknown') AS c_mktsegment FROM events e LEFT JOIN (SELECT c_custkey AS user_id, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) c ON e.user_id = c.user_id")
+@_query("SELECT e.event_id, e.user_id, coalesce(c.c_mktsegment, 'unknown') AS c_mktsegment FROM events e LEFT JOIN (SELECT c_custkey AS user_id, c_mktsegment FROM customer WHERE c_acctbal > 2000) c ON e.user_id = c.user_id")
 def _stream_table_join(spark, d):
-    table = _t(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    table = _t(spark, d, "customer").where("c_acctbal > 2000").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
     return joins.stream_table(_t(spark, d, "events"), table, ["user_id"], "defaults", {"c_mktsegment": "unknown"}).select("event_id", "user_id", "c_mktsegment")
 
 
@@ -354,10 +363,11 @@ def _all_subquery(spark, d):
     return relations.compare_all(_t(spark, d, "supplier"), "s_acctbal", ">", c, "c_acctbal").select("s_suppkey")
 
 
-@_query("SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3)")
+@_query("SELECT o_orderkey FROM orders WHERE o_totalprice / 50 < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3)")
 def _any_subquery(spark, d):
     c = _t(spark, d, "customer").where("c_nationkey = 3")
-    return relations.compare_any(_t(spark, d, "supplier"), "s_acctbal", "<", c, "c_acctbal").select("s_suppkey")
+    o = _t(spark, d, "orders").withColumn("part", F.col("o_totalprice") / 50)
+    return relations.compare_any(o, "part", "<", c, "c_acctbal").select("o_orderkey")
 
 
 @_query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
@@ -365,18 +375,23 @@ def _union(spark, d):
     return _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))).distinct()
 
 
-@_query("SELECT user_id AS k FROM events EXCEPT SELECT o_custkey AS k FROM orders")
+@_query("SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000")
 def _except(spark, d):
-    return _t(spark, d, "events").select(F.col("user_id").alias("k")).subtract(_t(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    return _t(spark, d, "orders").select(F.col("o_custkey").alias("k")).subtract(_t(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k")))
+
 
+@_query("SELECT user_id AS k FROM events INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000")
+def _intersect(spark, d):
+    return _t(spark, d, "events").select(F.col("user_id").alias("k")).intersect(_t(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k")))
 
-@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 4 <> 1")
+
+@_query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_nationkey <> 7")
 def _upsert_update_delete(spark, d):
-    table = _t(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    changes = table.where("s_suppkey % 4 = 0").withColumn("s_acctbal", F.lit(-1.0))
+    table = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    changes = table.where("s_acctbal < 0").withColumn("s_acctbal", F.lit(-1.0))
     merged = relations.upsert(table, changes, ["s_suppkey"])
     merged = relations.update(merged, {"s_acctbal": F.lit(0.0)}, F.col("s_acctbal") == -1.0)
-    return relations.delete(merged, F.col("s_suppkey") % 4 == 1)
+    return relations.delete(merged, F.col("s_nationkey") == 7).drop("s_nationkey")
 
 
 # the dialect's text
@@ -405,6 +420,244 @@ _dialect("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nati
 _dialect("sql_within", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id WITHIN 10m WHERE a.event_id < b.event_id", "SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE WHERE a.event_id < b.event_id")
 
 
+_ORDERED = "OVER (ROWS WINDOW BUFFER 10 ROWS PARTITION BY user_id ORDER BY ts {})"
+_dialect("sql_buffer_full", f"SELECT event_id, MAX(value) {_ORDERED.format('EMIT ON BUFFER FULL')} AS top FROM events WHERE event_type <> 'view'", "SELECT event_id, top FROM (SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS top, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE event_type <> 'view') WHERE n >= 10")
+_dialect(
+    "sql_buffer_expiry",
+    "SELECT event_id, COUNT(*) " + _ORDERED.format("EXPIRE AFTER INTERVAL '12' HOUR INACTIVITY") + " AS held, LAG(value, 1) " + _ORDERED.format("EXPIRE AFTER INTERVAL '12' HOUR INACTIVITY") + " AS prev FROM events",
+    """WITH a AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '12 hours' THEN 1 ELSE 0 END AS f FROM events),
+    b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
+    SELECT event_id, count(*) OVER (PARTITION BY user_id, s ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS held, lag(value) OVER (PARTITION BY user_id, s ORDER BY ts) AS prev FROM b""",
+)
+_dialect("sql_join_subquery", "SELECT c.c_custkey, t.most FROM customer c JOIN (SELECT o_custkey, MAX(o_totalprice) AS most FROM orders GROUP BY o_custkey) t ON c.c_custkey = t.o_custkey WHERE c.c_name <> 'into nowhere'", "SELECT c_custkey, max(o_totalprice) AS most FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1", ("customer", "orders"))
+_dialect("sql_any", "SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3) AND s_nationkey = ANY (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)", "SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY (SELECT c_acctbal FROM customer WHERE c_nationkey = 3) AND s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)", ("supplier", "customer"))
+_dialect("sql_all_with_nulls", "SELECT s_suppkey, s_acctbal > ALL (SELECT NULLIF(c_acctbal, 0) FROM customer WHERE c_acctbal < -900) AS every_one, s_acctbal > ALL (SELECT CASE WHEN c_acctbal < -950 THEN c_acctbal END FROM customer WHERE c_acctbal < -900) AS unknown FROM supplier", "SELECT s_suppkey, s_acctbal > ALL (SELECT nullif(c_acctbal, 0) FROM customer WHERE c_acctbal < -900) AS every_one, s_acctbal > ALL (SELECT CASE WHEN c_acctbal < -950 THEN c_acctbal END FROM customer WHERE c_acctbal < -900) AS unknown FROM supplier", ("supplier", "customer"))
+_dialect("sql_cte", "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey HAVING SUM(o_totalprice) > 500000), named AS (SELECT c.c_name, b.total FROM customer c JOIN big b ON c.c_custkey = b.o_custkey) SELECT c_name, ROUND(total, 2) AS total FROM named", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1 HAVING sum(o_totalprice) > 500000) SELECT c_name, round(total, 2) AS total FROM customer JOIN big ON c_custkey = o_custkey", ("orders", "customer"))
+_dialect("sql_recursive", "WITH RECURSIVE n(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM n WHERE k < 25) SELECT n.k, s.s_suppkey FROM n JOIN supplier s ON s.s_nationkey = n.k", "SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_nationkey BETWEEN 1 AND 25", ("supplier",))
+_dialect("sql_hopping", "SELECT event_type, _WINDOW_START AS w, COUNT(*) AS n FROM events GROUP BY event_type WINDOW HOPPING(ts, 6h, 1h) EMIT FINAL", """SELECT event_type, epoch_ms(w) AS w, count(*) AS n FROM (SELECT *, unnest([time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' FOR k IN range(6)]) AS w FROM events) GROUP BY 1, 2""")
+_dialect("sql_session_key", "SELECT COUNT(*) AS n, _WINDOW_START AS s FROM events WINDOW SESSION(ts, 6h, user_id) EMIT FINAL", _SQL["sql_session"].replace("SELECT user_id, count(*)", "SELECT count(*)"))
+_dialect("sql_window_no_keys", "SELECT TUMBLE_START() AS s, TUMBLE_END() AS e, COUNT(*) AS n, MAX(value) AS top FROM events WINDOW TUMBLING(ts, 1d) HAVING COUNT(*) > 1 ORDER BY top DESC, s LIMIT 12", "SELECT epoch_ms(time_bucket(INTERVAL '1 day', ts)) AS s, epoch_ms(time_bucket(INTERVAL '1 day', ts)) + 86400000 AS e, count(*) AS n, max(value) AS top FROM events GROUP BY time_bucket(INTERVAL '1 day', ts) HAVING count(*) > 1 ORDER BY top DESC, s LIMIT 12")
+_dialect("sql_window_in_derived", "SELECT t.event_type, MAX(t.n) AS most FROM (SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type WINDOW TUMBLING(ts, 1h)) t GROUP BY t.event_type", "SELECT event_type, max(n) AS most FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type, time_bucket(INTERVAL '1 hour', ts)) GROUP BY 1")
+_dialect("sql_sets", "SELECT user_id AS k FROM events INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000", "(SELECT user_id AS k FROM events INTERSECT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000", ("events", "customer", "orders"))
+_dialect("sql_lateral_alias", "SELECT event_id, value * 2 AS twice, twice + 1 AS more FROM events WHERE value > 1e1", "SELECT event_id, value * 2 AS twice, value * 2 + 1 AS more FROM events WHERE value > 10")
+_dialect("sql_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", ("orders",))
+_dialect("sql_no_from", "SELECT 1 AS a, 'x' || 'y' AS b, GREATEST(2, 3) AS c", "SELECT 1 AS a, 'xy' AS b, 3 AS c", ())
+_dialect("sql_default_frame", "SELECT event_id, ROUND(SUM(value) OVER (PARTITION BY user_id ORDER BY ts), 4) AS so_far FROM events", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts), 4) AS so_far FROM events")
+_dialect("sql_percentiles", "SELECT event_type, ROUND(PERCENTILE_CONT(value, 0.9), 6) AS p90, PERCENTILE_DISC(value, 0.25) AS d25, ROUND(PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY value), 6) AS med FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, quantile_disc(value, 0.25) AS d25, round(median(value), 6) AS med FROM events GROUP BY 1")
+_dialect("sql_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = part.p_partkey)", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = part.p_partkey)", ("part", "lineitem", "supplier"))
+_dialect(
+    "sql_strings",
+    r"SELECT p_partkey, LTRIM(CONCAT('  ', p_name)) AS l, RTRIM(CONCAT(p_name, ' ')) AS r, TRIM(CONCAT(' ', p_name, ' ')) AS t, JOIN('-', p_brand, p_type) AS j, REGEXP(p_brand, '\d') AS digit, REGEXP_REPLACE(p_type, '([A-Z]+) ', '<$1>') AS first_word, STRUCT('a', p_size).a AS s, MAP_VALUES(MAP('k', p_size))[0] AS m, SQRT(p_size) AS root FROM part".replace("\\\\", "\\"),
+    r"SELECT p_partkey, p_name AS l, p_name AS r, p_name AS t, p_brand || '-' || p_type AS j, regexp_matches(p_brand, '\d') AS digit, regexp_replace(p_type, '([A-Z]+) ', '<\1>') AS first_word, p_size AS s, p_size AS m, sqrt(p_size) AS root FROM part".replace("\\\\", "\\"),
+    ("part",),
+)
+
+
+def _engine_query(name: str, sql: str, tables: tuple[str, ...], *texts: str, params: tuple = ()) -> None:
+    """The last of several statements."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark, "ts")
+        for t in tables:
+            engine.register(t, _t(spark, sf_dir, t), t not in ("events",), None)
+        for text in texts[:-1]:
+            engine.sql(text)
+        return engine.sql(texts[-1], params)
+
+    _QUERIES[name] = run
+    _SQL[name] = sql
+
+
+_engine_query("sql_parameters", "SELECT event_id FROM events WHERE event_type = 'click' AND value > 100", ("events",), "SELECT event_id FROM events WHERE event_type = $1 AND value > $2", params=("click", 100))
+_engine_query("sql_insert_select", "SELECT s_suppkey AS k, s_name AS n FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT -1, 'none'", ("supplier", "customer"), "SELECT s_suppkey AS k, s_name AS n INTO people FROM supplier", "INSERT INTO people SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0", "INSERT INTO people VALUES (-1, 'none')", "SELECT k, n FROM people")
+_engine_query("sql_update_delete", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_nationkey <> 7", ("supplier",), "UPDATE supplier SET s_acctbal = 0 WHERE s_acctbal < 0", "DELETE FROM supplier WHERE s_nationkey = 7", "SELECT s_suppkey, s_acctbal FROM supplier")
+_engine_query("sql_create_table_keyed", "SELECT user_id, arg_max(value, ts) AS value FROM events GROUP BY 1", ("events",), "CREATE TABLE latest AS SELECT user_id PRIMARY KEY, ts, value FROM events", "SELECT user_id, value FROM latest")
+_engine_query("sql_create_stream", "SELECT event_id, value FROM events WHERE value > 200", ("events",), "CREATE STREAM big AS SELECT event_id, value FROM events WHERE value > 200", "SELECT * FROM big")
+_engine_query("sql_start_job", "SELECT event_type, count(*) AS n FROM events GROUP BY 1", ("events",), "START JOB counts AS SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type", "PAUSE JOB counts", "RESUME JOB counts", "SELECT * FROM counts")
+_engine_query("sql_show", "SELECT * FROM (VALUES ('customer', 'table'), ('supplier', 'table')) t(name, value)", ("supplier", "customer"), "SHOW TABLES")
+_engine_query("sql_describe", "SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) t(name, value)", ("region",), "SHOW SCHEMA region")
+
+
+# functions and sources beyond the ones above
+
+
+@_query("SELECT event_id, event_type AS kind, true AS has, false AS none, 'kind,user' AS keys, 'new' AS changed, 1 AS left_over FROM events")
+def _headers(spark, d):
+    df = _t(spark, d, "events").withColumn("_headers", F.create_map(F.lit("kind"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")))
+    return df.select("event_id", S.scalar("HEADER", "kind").alias("kind"), S.scalar("HAS_HEADER", "user").alias("has"), S.scalar("HAS_HEADER", "x").alias("none"), S.scalar("HEADER_KEYS").alias("keys"), S.scalar("SET_HEADER", "kind", "new")["kind"].alias("changed"), F.size(S.scalar("REMOVE_HEADER", "kind")).alias("left_over"))
+
+
+@_query("SELECT event_id, event_type AS kind, 'new' AS changed, 1 AS left_over FROM events")
+def _sql_headers(spark, d):
+    engine = Engine(spark, "ts")
+    engine.register("events", _t(spark, d, "events").withColumn("_headers", F.create_map(F.lit("kind"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))))
+    return engine.sql("SELECT event_id, HEADER('kind') AS kind, SET_HEADER('kind', 'new')['kind'] AS changed, CARDINALITY(REMOVE_HEADER('kind')) AS left_over FROM events")
+
+
+@_query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS secs, date_trunc('second', ts) AS back, epoch_ms(time_bucket(INTERVAL '1 hour', ts)) + 3600000 AS w_end, props->'$.k' AS raw, event_type || '/' || CAST(user_id AS VARCHAR) AS joined, user_id AS field FROM events")
+def _more_functions(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    secs = S.scalar("UNIX_TIMESTAMP", ts)
+    df = _t(spark, d, "events").withColumn("window", F.window("ts", "1 hour"))
+    return df.select("event_id", secs.alias("secs"), S.scalar("FROM_UNIXTIME", secs).alias("back"), S.scalar("TUMBLE_END").alias("w_end"), S.scalar("JSON_EXTRACT", F.col("props"), "$.k").alias("raw"), S.scalar("JOIN", "/", F.col("event_type"), F.col("user_id")).alias("joined"), S.scalar("STRUCT", "a", F.col("user_id"))["a"].alias("field"))
+
+
+@_query("SELECT event_id, event_type AS v, '{\"a\":' || user_id || '}' AS obj, NULL AS nothing FROM events")
+def _json_query(spark, d):
+    j = F.concat(F.lit('{"o":{"a":'), F.col("user_id"), F.lit('},"v":1}'))
+    return _t(spark, d, "events").select("event_id", S.scalar("MAP_VALUES", S.scalar("MAP", "t", F.col("event_type")))[0].alias("v"), S.scalar("JSON_QUERY", j, "$.o").alias("obj"), S.scalar("JSON_QUERY", j, "$.v").alias("nothing"))
+
+
+@_query("SELECT event_type, true AS close FROM events GROUP BY 1")
+def _approx_count_distinct(spark, d):
+    near = F.abs(aggregate("APPROX_COUNT_DISTINCT", "user_id") - aggregate("COUNT_DISTINCT", "user_id")) <= 0.15 * aggregate("COUNT_DISTINCT", "user_id")
+    return _t(spark, d, "events").groupBy("event_type").agg(near.alias("close"))
+
+
+@_query("SELECT user_id, string_agg(event_type, '|' ORDER BY ts) AS kinds FROM events GROUP BY 1")
+def _string_agg(spark, d):
+    return _t(spark, d, "events").groupBy("user_id").agg(aggregate("STRING_AGG", F.col("event_type"), F.col("ts"), "|").alias("kinds"))
+
+
+@_query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def _cube(spark, d):
+    return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT c_custkey, v AS value FROM (SELECT c_custkey, c_acctbal AS v FROM customer UNION ALL SELECT c_custkey, CAST(c_nationkey AS DOUBLE) FROM customer) WHERE v > 15")
+def _table_wildcard(spark, d):
+    leg = lambda c: F.struct(F.col(c).cast("double").alias("price"))
+    df = _t(spark, d, "customer").select("c_custkey", F.struct(leg("c_acctbal").alias("a"), leg("c_nationkey").alias("b")).alias("legs"))
+    return tables.Table(df, ["c_custkey"]).wildcard("legs.*.price", "> 15").withColumn("value", F.col("value").cast("double"))
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events)")
+def _table_bulk_lookup(spark, d):
+    table = tables.Table(_t(spark, d, "customer"), ["c_custkey"])
+    return table.bulk(_t(spark, d, "events").select(F.col("user_id").alias("c_custkey"))).select("c_custkey", "c_name")
+
+
+def _sides(df: DataFrame, op: str) -> DataFrame:
+    return df.select(F.to_json(F.struct(F.struct(F.lit(op).alias("op"), F.lit(None).cast("struct<s_suppkey: bigint, s_name: string>").alias("before"), F.struct("s_suppkey", "s_name").alias("after")).alias("payload"))).alias("raw"))
+
+
+@_query("SELECT 'u' AS op, s_suppkey, s_name FROM supplier")
+def _debezium(spark, d):
+    return adapters.debezium(_sides(_t(spark, d, "supplier"), "u"), "raw", "s_suppkey: bigint, s_name: string")
+
+
+@_query("SELECT 'c' AS op, s_suppkey, s_name FROM supplier")
+def _maxwell(spark, d):
+    raw = _t(spark, d, "supplier").select(F.to_json(F.struct(F.lit("insert").alias("type"), F.struct("s_suppkey", "s_name").alias("data"))).alias("raw"))
+    return adapters.maxwell(raw, "raw", "s_suppkey: bigint, s_name: string")
+
+
+@_query("SELECT user_id, value FROM events WHERE event_type <> 'error'")
+def _dead_letters(spark, d):
+    good = F.to_json(F.struct("user_id", "value"))
+    raw = _t(spark, d, "events").select(F.when(F.col("event_type") == "error", F.lit("{broken")).otherwise(good).alias("raw"))
+    return adapters.split_bad(raw, "raw", "user_id bigint, value double")[0]
+
+
+@_query("SELECT event_id, ts AS t FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'")
+def _late_rows(spark, d):
+    df = adapters.event_time(_t(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).select("event_id", (F.col("us") / 1_000_000).alias("secs"), "us"), "secs", "epoch_seconds")
+    kept, _ = split_late(df.withColumn("t", F.timestamp_micros("us")), "t", F.lit("2024-01-10").cast("timestamp"))
+    return kept.select("event_id", "t")
+
+
+def _file_query(kind: str, sql: str, options: dict[str, str], select: list[str], table: str, schema: str | None = None) -> None:
+    """A table written as files of a kind by the sink and read by the source."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, kind)
+        adapters.write(_t(spark, sf_dir, table).select(*select), "file_sink", path, options)
+        return adapters.bind(spark, {"type": "file_source", "path": path, **options, **({"schema": schema} if schema else {})}).select(*select)
+
+    _QUERIES[f"file_{kind}"] = run
+    _SQL[f"file_{kind}"] = sql
+
+
+_SUPPLIER = "SELECT s_suppkey, s_name, s_acctbal FROM supplier"
+_file_query("csv", _SUPPLIER, {"format": "csv", "header": "true"}, ["s_suppkey", "s_name", "s_acctbal"], "supplier", "s_suppkey long, s_name string, s_acctbal double")
+_file_query("json", _SUPPLIER, {"format": "json", "compression": "gzip"}, ["s_suppkey", "s_name", "s_acctbal"], "supplier")
+_file_query("parquet", _SUPPLIER, {"format": "parquet", "compression": "zstd", "rotate.records": "50"}, ["s_suppkey", "s_name", "s_acctbal"], "supplier")
+_file_query("orc", _SUPPLIER, {"format": "orc"}, ["s_suppkey", "s_name", "s_acctbal"], "supplier")
+
+
+# the same operators over unbounded inputs, run until what is there is done
+
+
+def _arrive(events: DataFrame, source: str) -> None:
+    """Three files in the order of time, as files are read in the order in which they were written."""
+    day = F.dayofmonth("ts")
+    for part in (day < 10, day.between(10, 19), day > 19):
+        events.where(part).coalesce(1).write.mode("append").parquet(source)
+
+
+def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Rows that a query over the events as a stream of files writes."""
+    source, out, checkpoint = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
+    events = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    _arrive(events, source)
+    made = make(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    if mode == "append":
+        writer = made.writeStream.format("parquet").option("path", out)
+    else:  # each batch as a version of its own
+        writer = made.writeStream.outputMode(mode).foreachBatch(lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/b={n}"))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = made.schema if mode == "append" else made.withColumn("_batch", F.lit(0)).schema
+    return spark.read.schema(schema).parquet(out if mode == "append" else f"{out}/*")
+
+
+@_query("SELECT event_id, lag(value) OVER w AS lag_value, round(avg(value) OVER b, 6) AS avg_value, min(value) OVER b AS min_value, max(value) OVER b AS max_value, CAST(count(*) OVER b AS DOUBLE) AS n_rows FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts), b AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def _stream_row_buffer(spark, d):
+    out = _streamed(spark, d, lambda s: row_buffer(s.select("event_id", "user_id", "ts", "value"), ["user_id"], "ts", "value", 5))
+    return out.drop("user_id", "ts", "value").withColumn("avg_value", F.round("avg_value", 6))
+
+
+@_query("SELECT event_type, count(*) AS n, epoch_ms(time_bucket(INTERVAL '1 day', ts)) AS w FROM events GROUP BY 1, 3")
+def _stream_emit_changes(spark, d):
+    """The last correction of each window."""
+
+    def make(stream: DataFrame) -> DataFrame:
+        engine = Engine(spark, "ts")
+        engine.register("s", stream)
+        return engine.sql("SELECT event_type, _WINDOW_START AS w, COUNT(*) AS n FROM s GROUP BY event_type WINDOW TUMBLING(ts, 1d) EMIT CHANGES")
+
+    return _streamed(spark, d, make, "update").groupBy("event_type", "w").agg(F.max_by("n", "_batch").alias("n"))
+
+
+@_query("WITH t AS (SELECT event_type, count(*) AS n, time_bucket(INTERVAL '1 day', ts) AS w FROM events GROUP BY 1, 3) SELECT event_type, n, epoch_ms(w) AS w FROM t WHERE w + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '12 hours' FROM events)")
+def _stream_emit_final(spark, d):
+    """Windows that the watermark, half a window behind, has passed."""
+
+    def make(stream: DataFrame) -> DataFrame:
+        engine = Engine(spark, "ts")
+        engine.register("s", stream)
+        return engine.sql("SELECT event_type, _WINDOW_START AS w, COUNT(*) AS n FROM s GROUP BY event_type WINDOW TUMBLING(ts, 1d) EMIT FINAL")
+
+    return _streamed(spark, d, make)
+
+
+@_query(_SQL["interval_join"])
+def _stream_interval_join(spark, d):
+    def make(stream: DataFrame) -> DataFrame:
+        side = lambda kind, p: stream.where(F.col("event_type") == kind).select(F.col("event_id").alias(f"{p}_id"), F.col("user_id").alias(f"{p}_user"), F.col("ts").alias(f"{p}_ts")).withWatermark(f"{p}_ts", "1 day")
+        return joins.interval_join(side("click", "l"), side("purchase", "r"), F.col("l_user") == F.col("r_user"), "l_ts", "r_ts", "-1 HOUR", "6 HOUR").select("l_id", "r_id")
+
+    return _streamed(spark, d, make)
+
+
+@_query("SELECT user_id, arg_max(value, ts) AS value FROM events GROUP BY 1")
+def _stream_keyed_table(spark, d):
+    source, path, checkpoint = (scratch(spark, n) for n in ("stream-in", "keyed", "stream-checkpoint"))
+    events = _t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    _arrive(events, source)
+    keyed_table(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source), path, ["user_id"], "ts", checkpoint).awaitTermination()
+    return read_keyed(spark, path, events.schema).select("user_id", "value")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

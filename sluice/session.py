@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +31,17 @@ def build_session(master: str = "local[*]", app: str = "sluice", **conf: str) ->
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`), or a temp folder in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = getattr(spark.sparkContext, "_sluice_files", None) or tempfile.mkdtemp(prefix="sluice-files-")
+        spark.sparkContext._sluice_files = root
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per Spark context.
 

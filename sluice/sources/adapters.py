@@ -82,6 +82,19 @@ def read(spark: SparkSession, scheme: str, path: str, options: Mapping[str, str]
     raise ValueError(f"no source {scheme}")
 
 
+def bind(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
+    """A source by its options: type, path or topic, and with `watch` a directory as a stream, which needs a schema."""
+    kind, path = options["type"], options.get("path") or options.get("topic", "")
+    rest = {k: v for k, v in options.items() if k not in ("type", "path", "topic", "watch", "schema")}
+    if kind.startswith("file") and str(options.get("watch", "")).lower() == "true":
+        df = read_stream(spark, path, options["schema"], rest)
+    elif kind.startswith("file"):
+        df = read_file(spark, path, rest, options.get("schema"))
+    else:
+        df = read(spark, kind.removesuffix("_source"), path, rest)
+    return event_time(df, options["event_time"], options.get("event_time_format", "epoch_millis")) if "event_time" in options else df
+
+
 def event_time(df: DataFrame, field: str, kind: str = "epoch_millis") -> DataFrame:
     """The column _timestamp from a field: epoch_millis, epoch_seconds, iso8601, or a date pattern."""
     col = F.col(field)
@@ -102,13 +115,30 @@ def debezium(df: DataFrame, raw: str, schema: str) -> DataFrame:
     return df.select(e["payload"].alias("e")).select(F.col("e.op").alias("op"), F.coalesce("e.after", "e.before").alias("row")).select("op", "row.*")
 
 
+def maxwell(df: DataFrame, raw: str, schema: str) -> DataFrame:
+    """Operation (c, u or d) and the row of Maxwell's change envelopes."""
+    e = F.from_json(raw, f"type string, data struct<{schema}>")
+    op = F.create_map(*[F.lit(x) for pair in (("insert", "c"), ("bootstrap-insert", "c"), ("update", "u"), ("delete", "d")) for x in pair])
+    return df.select(e.alias("e")).where(F.col("e.type").isin("insert", "bootstrap-insert", "update", "delete")).select(op[F.col("e.type")].alias("op"), "e.data.*")
+
+
+def _rotation(options: Mapping[str, str]) -> dict[str, str]:
+    """Writer options for files that end after so many records."""
+    return {"maxRecordsPerFile": options["rotate.records"]} if "rotate.records" in options else {}
+
+
 def write(df: DataFrame, scheme: str, path: str, options: Mapping[str, str], emit: str | None = None) -> object:
     """Writes a bounded input, or starts the query of an unbounded one, which needs `checkpoint`."""
     kind = options.get("format") or SUFFIXES.get(path.rsplit(".", 1)[-1], "json")
-    extra = {k: v for k, v in options.items() if k in ("compression", "maxRecordsPerFile", "header", "kafka.bootstrap.servers")}
+    extra = {k: v for k, v in options.items() if k in ("compression", "maxRecordsPerFile", "header", "kafka.bootstrap.servers")} | _rotation(options)
     if scheme.startswith("kafka"):
-        keyed = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
-        kind, df, extra = "kafka", keyed, {**extra, "topic": path}
+        key = [F.col(options["key"]).cast("string").alias("key")] if "key" in options else []
+        headers = [F.transform(F.map_entries("_headers"), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("binary").alias("value"))).alias("headers")] if "_headers" in df.columns else []
+        part = [F.col(options["partition"]).cast("int").alias("partition")] if "partition" in options else []
+        value = F.to_json(F.struct(*[c for c in df.columns if c != "_headers"])).alias("value")
+        kind, df, extra = "kafka", df.select(value, *key, *headers, *part), {**extra, "topic": path}
+        if headers:
+            extra["includeHeaders"] = "true"
     elif scheme.startswith("stdout"):
         kind = "console"
     if df.isStreaming:
