@@ -1,7 +1,7 @@
 """Times the headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
 
 At sf0.1 a query takes little longer than a job's start; so LARGE ones run again over TIMES as many events and orders, made by repeating rows
-under new ids, users and customers.
+under new ids, users and customers; these stand apart under "large" and don't count in the value.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = build_session(f"local[{cpus}]", "bench", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
-    queries, seconds = registry.queries(), {}
+    queries, seconds, more = registry.queries(), {}, {}
     large = enlarged(spark, sf_dir)
     for name, folder, label in [*((n, sf_dir, n) for n in HEADLINE), *((n, large, f"{n}_x{TIMES}") for n in LARGE)]:
         best = float("inf")
@@ -48,9 +48,9 @@ def main() -> None:
             began = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - began)
-        seconds[label] = round(best, 4)
+        (seconds if folder == sf_dir else more)[label] = round(best, 4)
     shutil.rmtree(large)
-    print(json.dumps({"metric": "headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir)}))
+    print(json.dumps({"metric": "headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "large": more, "sf": os.path.basename(sf_dir)}))
     spark.stop()
 
 
