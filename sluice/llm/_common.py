@@ -10,7 +10,7 @@ from functools import partial
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.session import ship
@@ -72,10 +72,15 @@ def map_arrow(df: DataFrame, func: Callable, schema: str, *args: object, barrier
     return df.mapInArrow(partial(func, *args), schema, barrier)
 
 
+def precedence(rows: DataFrame, columns: list[str], row: str, key: str) -> Column:
+    """Order of rows: null keys come last, rows of equal keys go by the hash of `columns`, then by their number."""
+    plain = [c for c in columns if not re.search(r"map<|variant", rows.schema[c].dataType.simpleString())]
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(*plain).alias("hash"), F.col(row).alias("row"))
+
+
 def one_of_each(rows: DataFrame, group: str, row: str, key: str) -> DataFrame:
-    """Of each group the row of the smallest key; null keys come last, rows of equal keys go by the hash of their columns."""
-    plain = [f.name for f in rows.schema if f.name not in (group, row) and not re.search(r"map<|variant", f.dataType.simpleString())]
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(*plain).alias("hash"), F.col(row).alias("row"))
+    """Of each group the row that comes first by `precedence`."""
+    order = precedence(rows, [c for c in rows.columns if c not in (group, row)], row, key)
     chosen = rows.groupBy(group).agg(F.min(order).alias("_first")).select(F.col("_first.row").alias(row))
     return rows.join(chosen, row, "left_semi").drop(group, row)
 

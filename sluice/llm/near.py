@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import simhash
-from sluice.llm._common import map_arrow, materialise, one_of_each, slices
+from sluice.llm._common import map_arrow, materialise, precedence, slices
 from sluice.llm.components import connected_components
 from sluice.llm.simhash import majority, shingle_hashes
 
@@ -115,8 +115,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def linked(texts: DataFrame) -> DataFrame:
-    """Links (u, v) of similar classes among `texts` (class, keys, fp, text; a row for each class)."""
+def linked(texts: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Links (u, v) of similar classes among `texts` (class, keys, fp, _row; a row for each class); their texts are in `rows`, by _row."""
     prints = texts.groupBy("fp").agg(F.count("*").alias("n"))
     reach = connected_components(materialise(simhash.linked(prints, "fp", RADIUS), "near-prints"), "u", "v")
     reach = materialise(reach.select(F.col("node").alias("fp"), "component"), "near-reached")
@@ -128,26 +128,37 @@ def linked(texts: DataFrame) -> DataFrame:
     groups = keyed.groupBy("key").agg(F.count("*").alias("size"), *marks).where("size > 1")
     groups = groups.groupBy("size", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "size")
     members = materialise(keyed.join(groups, "key"), "near-members")
-    wanted = texts.join(members.select("class").distinct(), "class", "left_semi").select("class", "text")
-    sets = materialise(map_arrow(wanted, _sets, "class binary, hashes binary"), "near-sets")
+    wanted = texts.join(members.select("class").distinct(), "class", "left_semi").select("class", "_row")
+    sets = materialise(map_arrow(rows.select("_row", text).join(wanted, "_row").select("class", text), _sets, "class binary, hashes binary"), "near-sets")
     pieces = members.withColumn("own", F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / SLICE)).cast("int"))
     dealt = pieces.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("slice"), "own", "class").join(sets, "class")
     dealt = dealt.select("key", "slice", (F.col("slice") != F.col("own")).cast("int").alias("other"), "class", "hashes")
     return map_arrow(dealt.repartition("key", "slice").sortWithinPartitions("key", "slice", "other"), _verified, "u binary, v binary")
 
 
-def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` with _row (a number of their own) and _component (equal for near copies); written to the shared folder."""
+def _components(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of `docs` with _row (a number of their own) and _class, and the _component of each class that has others;
+    both written to the shared folder. Texts are only shuffled where sets are made of them."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = map_arrow(docs, _sketches, f"{kinds}, _class binary, _keys array<bigint>, _fp bigint", docs.columns.index(text))
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
     firsts = materialise(rows.groupBy("_class").agg(F.min("_row").alias("_row")).select("_row"), "near-classes")
-    texts = rows.join(firsts, "_row", "left_semi").select(F.col("_class").alias("class"), F.col("_keys").alias("keys"), F.col("_fp").alias("fp"), F.col(text).alias("text"))
-    reach = connected_components(materialise(linked(texts), "near-links"), "u", "v")
+    texts = rows.select(F.col("_class").alias("class"), F.col("_keys").alias("keys"), F.col("_fp").alias("fp"), "_row").join(firsts, "_row", "left_semi")
+    reach = connected_components(materialise(linked(texts, rows, text), "near-links"), "u", "v")
     reach = materialise(reach.select(F.col("node").alias("_class"), F.col("component").alias("_component")), "near-reach")
+    return rows, reach
+
+
+def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` with _row (a number of their own) and _component (equal for near copies)."""
+    rows, reach = _components(docs, text)
     return rows.join(reach, "_class", "left").withColumn("_component", F.coalesce("_component", "_class")).drop("_class", "_keys", "_fp")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies: the one of the smallest key, see `one_of_each`."""
-    return one_of_each(grouped(docs, text), "_component", "_row", key).select(*docs.columns)
+    """One row of each group of near copies: the first by `precedence`. Rows are chosen without their texts."""
+    rows, reach = _components(docs, text)
+    order = rows.select("_class", precedence(rows, docs.columns, "_row", key).alias("_order"))
+    firsts = order.groupBy("_class").agg(F.min("_order").alias("_order")).join(reach, "_class", "left")
+    chosen = firsts.groupBy(F.coalesce("_component", "_class").alias("_component")).agg(F.min("_order").alias("_order")).select(F.col("_order.row").alias("_row"))
+    return rows.join(chosen, "_row", "left_semi").select(*docs.columns)
