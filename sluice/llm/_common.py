@@ -10,7 +10,7 @@ from functools import partial
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.session import ship
@@ -72,14 +72,41 @@ def map_arrow(df: DataFrame, func: Callable, schema: str, *args: object, barrier
     return df.mapInArrow(partial(func, *args), schema, barrier)
 
 
+def precedence(rows: DataFrame, key: str, row: str) -> Column:
+    """By what rows of a group come first: the smallest key; null keys come last, rows of equal keys go by the hash of their columns."""
+    plain = [f.name for f in rows.schema if f.name != row and not re.search(r"map<|variant", f.dataType.simpleString())]
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(*plain).alias("hash"), F.col(row).alias("row"))
+
+
 def one_of_each(rows: DataFrame, group: str, row: str, key: str) -> DataFrame:
-    """Of each group the row of the smallest key; null keys come last, rows of equal keys go by the hash of their columns."""
-    plain = [f.name for f in rows.schema if f.name not in (group, row) and not re.search(r"map<|variant", f.dataType.simpleString())]
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(*plain).alias("hash"), F.col(row).alias("row"))
-    chosen = rows.groupBy(group).agg(F.min(order).alias("_first")).select(F.col("_first.row").alias(row))
+    """Of each group the row that comes first by `precedence`."""
+    chosen = rows.groupBy(group).agg(F.min(precedence(rows.drop(group), key, row)).alias("_first")).select(F.col("_first.row").alias(row))
     return rows.join(chosen, row, "left_semi").drop(group, row)
 
 
+#: Bits of a filter's bitmap (a row of 4 KB), bits for each value that a filter holds, and most bitmaps of a filter, 64 MB together.
+BITMAP, BITS_EACH, MOST_BITMAPS = 32768, 16, 16384
+
+
+def sift(rows: DataFrame, values: DataFrame, name: str, clear: bool = False) -> DataFrame:
+    """The rows of which the value in `name` may be among `values` (a written table): all that are, and of others about one in 16; or,
+    with `clear`, the rows that are not among them for certain, which are all the others.
+
+    Spares wide rows a shuffle before an exact join. The filter has a hashed bit for each value. It is broadcast and has at most
+    MOST_BITMAPS bitmaps; with more values it lets more rows through, and the join that follows does more, with the same result.
+    Null values aren't among any.
+    """
+    bitmaps = min(MOST_BITMAPS, max(1, -(-values.count() * BITS_EACH // BITMAP)))
+    slot = F.pmod(F.xxhash64(name, F.lit("sift")), F.lit(bitmaps * BITMAP)) + 1
+    bits = values.select(F.bitmap_bucket_number(slot).alias("_bitmap"), F.bitmap_bit_position(slot).alias("_bit")).repartition("_bitmap")
+    bits = bits.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = rows.withColumn("_bitmap", F.bitmap_bucket_number(slot)).withColumn("_bit", F.bitmap_bit_position(slot)).join(F.broadcast(bits), "_bitmap", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce(F.expr("_bit % 8").cast("int"), F.lit(0))
+    found = F.coalesce(F.call_function("bit_get", byte, may) == 1, F.lit(False)) & F.col(name).isNotNull()
+    return met.where(~found if clear else found).drop("_bitmap", "_bit", "_bits")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

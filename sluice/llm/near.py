@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import simhash
-from sluice.llm._common import map_arrow, materialise, one_of_each, slices
+from sluice.llm._common import discard, map_arrow, materialise, precedence, sift, slices
 from sluice.llm.components import connected_components
 from sluice.llm.simhash import majority, shingle_hashes
 
@@ -56,21 +56,22 @@ def keys_of(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(raw[b * step : (b + 1) * step], b) - (1 << 63) for b in range(BANDS)]
 
 
-def _sketches(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with the class (digest of the set), the keys and the fingerprint of the text in column `at`."""
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (_row, text) the class (digest of the set), the keys and the fingerprint of the text."""
     for batch in slices(batches):
-        hashes = [shingle_hashes(t, WORDS, SEED) for t in batch.column(at).to_pylist()]
+        hashes = [shingle_hashes(t, WORDS, SEED) for t in batch.column(1).to_pylist()]
         sets = [np.unique(h) for h in hashes]
         classes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-        columns = [pa.array(classes, pa.binary()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_class", "_keys", "_fp"])
+        columns = [batch.column(0), pa.array(classes, pa.binary()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)]
+        yield pa.RecordBatch.from_arrays(columns, names=["_row", "class", "keys", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, places, text) the same with the set of the text's shingles in its stead."""
     for batch in slices(batches):
-        sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["class", "hashes"])
+        sets = [shingles(t).tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "places", "hashes"])
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -90,15 +91,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield from zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
 
-    found: list[tuple[bytes, bytes]] = []
+    found: list[tuple[int, int]] = []
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["u", "v"])
+        out = pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
         found.clear()
         return out
 
     for _, group in groupby(rows(), key=lambda r: r[0]):
-        parts: list[list[tuple[bytes, np.ndarray]]] = []
+        parts: list[list[tuple[int, np.ndarray]]] = []
         for _, other, code, raw in group:
             mine = np.frombuffer(raw, np.uint64)
             joined, apart = [], []
@@ -115,39 +116,53 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def linked(texts: DataFrame) -> DataFrame:
-    """Links (u, v) of similar classes among `texts` (class, keys, fp, text; a row for each class)."""
-    prints = texts.groupBy("fp").agg(F.count("*").alias("n"))
+def linked(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) of similar classes (id, keys, fp) in the shared folder; the text of a class is that of its id in `texts` (id, text).
+
+    Only texts of candidates are shuffled, and those that a filter over the ids of candidates can't tell from them.
+    """
+    prints = classes.groupBy("fp").agg(F.count("*").alias("n"))
     reach = connected_components(materialise(simhash.linked(prints, "fp", RADIUS), "near-prints"), "u", "v")
     reach = materialise(reach.select(F.col("node").alias("fp"), "component"), "near-reached")
     alone = F.xxhash64(F.coalesce("component", "fp"), F.lit("print"))
-    by_print = texts.select("class", "fp").join(prints.join(reach, "fp", "left").where("n > 1 OR component IS NOT NULL").select("fp", alone.alias("key")), "fp").select("class", "key")
-    keyed = materialise(texts.select("class", F.explode("keys").alias("key")).union(by_print), "near-keys")
+    by_print = classes.select("id", "fp").join(prints.join(reach, "fp", "left").where("n > 1 OR component IS NOT NULL").select("fp", alone.alias("key")), "fp").select("id", "key")
+    keyed = materialise(classes.select("id", F.explode("keys").alias("key")).union(by_print), "near-keys")
     # groups of the same classes have the same marks; one of them is enough
-    marks = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
     groups = keyed.groupBy("key").agg(F.count("*").alias("size"), *marks).where("size > 1")
-    groups = groups.groupBy("size", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "size")
-    members = materialise(keyed.join(groups, "key"), "near-members")
-    wanted = texts.join(members.select("class").distinct(), "class", "left_semi").select("class", "text")
-    sets = materialise(map_arrow(wanted, _sets, "class binary, hashes binary"), "near-sets")
-    pieces = members.withColumn("own", F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / SLICE)).cast("int"))
-    dealt = pieces.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("slice"), "own", "class").join(sets, "class")
-    dealt = dealt.select("key", "slice", (F.col("slice") != F.col("own")).cast("int").alias("other"), "class", "hashes")
-    return map_arrow(dealt.repartition("key", "slice").sortWithinPartitions("key", "slice", "other"), _verified, "u binary, v binary")
-
-
-def grouped(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` with _row (a number of their own) and _component (equal for near copies); written to the shared folder."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = map_arrow(docs, _sketches, f"{kinds}, _class binary, _keys array<bigint>, _fp bigint", docs.columns.index(text))
-    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    firsts = materialise(rows.groupBy("_class").agg(F.min("_row").alias("_row")).select("_row"), "near-classes")
-    texts = rows.join(firsts, "_row", "left_semi").select(F.col("_class").alias("class"), F.col("_keys").alias("keys"), F.col("_fp").alias("fp"), F.col(text).alias("text"))
-    reach = connected_components(materialise(linked(texts), "near-links"), "u", "v")
-    reach = materialise(reach.select(F.col("node").alias("_class"), F.col("component").alias("_component")), "near-reach")
-    return rows.join(reach, "_class", "left").withColumn("_component", F.coalesce("_component", "_class")).drop("_class", "_keys", "_fp")
+    groups = materialise(groups.groupBy("size", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "size"), "near-groups")
+    members = materialise(sift(keyed, groups, "key").join(groups, "key"), "near-members")
+    # a text goes once to where its groups are known, of which it has a few, and from there its set to each of them
+    place = F.struct("key", F.ceil(F.col("size") / SLICE).cast("int").alias("n"))
+    places = materialise(members.groupBy("id").agg(F.collect_list(place).alias("places")), "near-places")
+    known = sift(texts, places, "id").join(places, "id").select("id", "places", "text")
+    sets = map_arrow(known, _sets, "id long, places array<struct<key: long, n: int>>, hashes binary")
+    pieces = sets.select("id", "hashes", F.explode("places").alias("place")).select("id", "hashes", "place.key", F.pmod(F.xxhash64("id"), "place.n").cast("int").alias("own"))
+    dealt = pieces.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("slice"), "own", "id", "hashes")
+    dealt = dealt.select("key", "slice", (F.col("slice") != F.col("own")).cast("int").alias("other"), "id", "hashes")
+    links = materialise(map_arrow(dealt.repartition("key", "slice").sortWithinPartitions("key", "slice", "other"), _verified, "u long, v long"), "near-links")
+    for done in (reach, keyed, groups, members, places):
+        discard(done)
+    return links
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near copies: the one of the smallest key, see `one_of_each`."""
-    return one_of_each(grouped(docs, text), "_component", "_row", key).select(*docs.columns)
+    """One row of each group of near copies: the one of the smallest key, see `precedence`. Rows are chosen without their texts;
+    only rows that a filter over the ids of dropped rows can't clear are shuffled. Columns may have any names."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    name, at = inner[docs.columns.index(text)], inner[docs.columns.index(key)]
+    rows = docs.toDF(*inner).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(rows.withColumn("_order", precedence(rows, at, "_row")), "near-rows")
+    sketches = materialise(map_arrow(rows.select("_row", name), _sketches, "_row long, class binary, keys array<bigint>, fp bigint"), "near-sketches")
+    firsts = sketches.groupBy("class").agg(F.min(F.struct("_row", "keys", "fp")).alias("first"))
+    firsts = materialise(firsts.select("class", F.col("first._row").alias("id"), "first.keys", "first.fp"), "near-firsts")
+    classes = firsts.select("id", "keys", "fp")
+    reach = connected_components(linked(classes, rows.select(F.col("_row").alias("id"), F.col(name).alias("text"))), "u", "v")
+    reach = materialise(reach.select(F.col("node").alias("id"), "component"), "near-reach")
+    # of each class, then of each group the first row
+    first = F.min("_order").alias("_order")
+    chosen = sketches.select("class", "_row").join(rows.select("_row", "_order"), "_row").groupBy("class").agg(first).join(firsts.select("class", "id"), "class")
+    chosen = chosen.join(reach, "id", "left").groupBy(F.coalesce("component", "id")).agg(first).select("_order.row")
+    gone = materialise(sketches.select("_row").join(chosen.withColumnRenamed("row", "_row"), "_row", "left_anti"), "near-gone")
+    kept = sift(rows, gone, "_row", clear=True).unionByName(sift(rows, gone, "_row").join(gone, "_row", "left_anti"))
+    return kept.select(*inner).toDF(*docs.columns)
