@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -66,10 +68,34 @@ def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], n: str, n_rows
     return met.unionByName(rest)
 
 
+#: What each module's functions keep in a worker between tasks: models and memos.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(module: str) -> dict:
+    """A dictionary for what a module keeps between tasks; a worker that is given another module's function empties it."""
+    return _KEPT.setdefault(module, {})
+
+
+def _alone(func: Callable, *args: object) -> Iterator[pa.RecordBatch]:
+    """`func(*args)` in a worker without what functions of other modules kept, so that memory doesn't add up over the
+    operators of an application, whose tasks take turns in the same workers."""
+    stale = [kept for module, kept in _KEPT.items() if module != func.__module__ and kept]
+    for kept in stale:
+        kept.clear()
+    if stale:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim is not None:
+            trim(0)
+    return func(*args)
+
+
 def map_arrow(df: DataFrame, func: Callable, schema: str, *args: object, barrier: bool = False) -> DataFrame:
-    """mapInArrow of the module-level `func(*args, batches)`; workers import it, so its module keeps state between tasks."""
+    """mapInArrow of the module-level `func(*args, batches)`; workers import it, so its module keeps state between tasks (`kept_by`)."""
     ship(df.sparkSession)
-    return df.mapInArrow(partial(func, *args), schema, barrier)
+    return df.mapInArrow(partial(_alone, func, *args), schema, barrier)
 
 
 def precedence(rows: DataFrame, key: str, row: str) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 from sluice.llm._common import Splitter, narrow
 
@@ -130,8 +129,10 @@ class PieceEncoder(dict):
         return [self._text(t) for t in texts]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, style: type[Words] | type[Bytes], special_text: bool = False) -> PieceEncoder:
-    """A worker's encoder; built once, kept between tasks. The strings of special tokens in a text become these tokens, as
+def encoder(kept: dict, path: str, style: type[Words] | type[Bytes], special_text: bool = False) -> PieceEncoder:
+    """A worker's encoder; built once, kept between tasks in the caller's `kept`. The strings of special tokens in a text become these tokens, as
     the library does by default, unless `special_text` makes them ordinary text."""
-    return PieceEncoder(path, style, special_text)
+    key = (path, style, special_text)
+    if key not in kept:
+        kept[key] = PieceEncoder(*key)
+    return kept[key]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import SharedModel, map_arrow, slices
+from sluice.llm._common import SharedModel, kept_by, map_arrow, slices
 from sluice.llm.sampling import fold, labelled_sample
 
 ORDER = 5
@@ -227,7 +227,7 @@ class _Scorer:
         return self.model.decide(sums[:-1], sums[-1])
 
 
-_SCORERS: dict[int, _Scorer] = {}
+_SCORERS: dict[int, _Scorer] = kept_by(__name__)
 
 
 def _scorer(model) -> _Scorer:

@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm._common import map_arrow, slices
+from sluice.llm._common import kept_by, map_arrow, slices
 from sluice.llm._tokens import Words, encoder
 
+_ENCODERS: dict = kept_by(__name__)
+
 #: What a cut counts in the sum of squares.
 CUT = 16
 _NEVER = np.iinfo(np.int64).max
@@ -129,7 +131,7 @@ def _pack(path: str, window: int, end: int, special_text: bool, kind: pa.DataTyp
     from pyspark import TaskContext
 
     base = TaskContext.get().partitionId() << 40
-    coder, packer, last = encoder(path, Words, special_text), Packer(window), array("I", [end]).tobytes()
+    coder, packer, last = encoder(_ENCODERS, path, Words, special_text), Packer(window), array("I", [end]).tobytes()
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def flush() -> pa.RecordBatch:

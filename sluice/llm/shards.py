@@ -32,10 +32,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm._common import map_arrow, materialise, scratch_path, slices
+from sluice.llm._common import kept_by, map_arrow, materialise, scratch_path, slices
 from sluice.llm._tokens import Bytes, encoder
 from sluice.llm.mph import MinimalPerfectHash, key_hash
 
+_ENCODERS: dict = kept_by(__name__)
+
 MAGIC = b"IDSHARD1"
 #: In files null keys are this, the least of all; no other key may be.
 NULL_KEY = -(1 << 63)
@@ -72,7 +74,7 @@ def _write(folder: str, tokenizer: str, end: int, narrow: bool, special_text: bo
     from pyspark import TaskContext
 
     files, root = pafs.FileSystem.from_uri(folder)
-    coder, last = encoder(tokenizer, Bytes, special_text), array("I", [end]).tobytes()
+    coder, last = encoder(_ENCODERS, tokenizer, Bytes, special_text), array("I", [end]).tobytes()
     name, out, keys, sizes = f"{uuid.uuid4().hex}.ids", None, array("q"), array("Q")
     try:
         for batch in slices(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm._common import SharedModel, map_arrow, slices
+from sluice.llm._common import SharedModel, kept_by, map_arrow, slices
 from sluice.llm.sampling import fold, labelled_sample
 
 #: Bounds of the learning sample, for each of the two labels.
@@ -324,7 +324,7 @@ class _Tagger:
         return [tuple(f) for f in found]
 
 
-_TAGGERS: dict[int, _Tagger] = {}
+_TAGGERS: dict[int, _Tagger] = kept_by(__name__)
 
 
 def _tagger(model: SharedModel) -> _Tagger:
