@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sluice.session import ship
@@ -55,46 +56,53 @@ FUNCTIONS: dict[str, Callable[[list, int], object]] = {
 USUAL = {"lag_value": ("lag", 1), "avg_value": ("avg", 0), "min_value": ("min", 0), "max_value": ("max", 0), "n_rows": ("count_all", 0)}
 
 
-class RowBuffer(StatefulProcessor):
-    """The last `size` rows of a key; each row gives the aggregates over the buffer that it ends. With `quiet` seconds, a
-    buffer starts anew after a gap in the order column that is longer; with `full_only`, rows come once the buffer is full."""
+#: What is held of a key: the buffered values and, if gaps count, their order (seconds if it is a time).
+HELD = "v array<double>, at array<double>"
+
 
-    def __init__(self, order: str, value: str, size: int, wanted: Mapping[str, tuple[str, int]], quiet: float | None, full_only: bool):
-        self.order, self.value, self.size, self.wanted, self.quiet, self.full_only = order, value, size, dict(wanted), quiet, full_only
+def _seconds(order: pd.Series) -> list[float]:
+    since = (order - pd.Timestamp(0, tz=order.dt.tz)).dt.total_seconds() if hasattr(order, "dt") else order.astype(float)
+    return since.tolist()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", "v double, at double")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        held = [(r[0], r[1]) for r in self.rows.get()] if self.rows.exists() else []
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
-        order = batch[self.order]
-        at = (order - pd.Timestamp(0, tz=order.dt.tz)).dt.total_seconds() if hasattr(order, "dt") else order.astype(float)
+def _buffered(order: str, value: str, size: int, wanted: Mapping[str, tuple[str, int]], quiet: float | None, full_only: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The last `size` rows of a key; each row gives the aggregates over the buffer that it ends. With `quiet` seconds, a
+    buffer starts anew after a gap in the order column that is longer; with `full_only`, rows come once the buffer is full."""
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if not batch[order].is_monotonic_increasing:
+            batch = batch.sort_values(order, kind="stable", ignore_index=True)
+        at = [None] * len(batch) if quiet is None else _seconds(batch[order])
         out, keep = [], []
-        for value, when in zip(batch[self.value].tolist(), at.tolist(), strict=True):
-            if self.quiet is not None and held and when - held[-1][1] > self.quiet:
+        for v, when in zip(batch[value].tolist(), at, strict=True):
+            if quiet is not None and held and when - held[-1][1] > quiet:
                 held = []
-            held = [*held, (None if value is None or value != value else float(value), when)][-self.size :]
-            values = [v for v, _ in held]
-            keep.append(not self.full_only or len(held) == self.size)
-            out.append([FUNCTIONS[f](values, k) for f, k in self.wanted.values()])
-        self.rows.put(held)
-        extra = pd.DataFrame(out, columns=list(self.wanted), dtype="float64")
-        yield pd.concat([batch, extra], axis=1)[keep]
+            held = [*held, (None if v is None or v != v else float(v), when)][-size:]
+            values = [x for x, _ in held]
+            keep.append(not full_only or len(held) == size)
+            out.append([FUNCTIONS[f](values, k) for f, k in wanted.values()])
+        state.update(([v for v, _ in held], [when for _, when in held]))
+        both = pd.concat([batch, pd.DataFrame(np.array(out, dtype="float64"), index=batch.index, columns=list(wanted))], axis=1)
+        yield both if all(keep) else both[keep]
 
-    def close(self) -> None:
-        self.rows = None
+    return step
 
 
 def row_buffer(df: DataFrame, keys: Sequence[str], order: str, value: str, size: int, wanted: Mapping[str, tuple[str, int]] = USUAL, quiet: float | None = None, full_only: bool = False) -> DataFrame:
     """Aggregates of a value over the last `size` rows of each key, for a stream: `wanted` has (function, argument) by output
-    name, see FUNCTIONS. Rows of a micro-batch are taken in `order`; those of an earlier batch come before."""
+    name, see FUNCTIONS. Rows of a micro-batch are taken in `order`; those of an earlier batch come before. Any state store will
+    do, and the session's settings stay as they are (`transformWithStateInPandas` needs RocksDB, and its process on the driver
+    doesn't find shipped code)."""
     unknown = [f for f, _ in wanted.values() if f not in FUNCTIONS]
     if unknown:
         raise ValueError(f"unknown functions {unknown}")
     ship(df.sparkSession)
     fields = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name in wanted]])
-    return df.groupBy(*keys).transformWithStateInPandas(RowBuffer(order, value, size, wanted, quiet, full_only), fields, "Append", "None")
+    step = _buffered(order, value, size, dict(wanted), quiet, full_only)
+    return df.groupBy(*keys).applyInPandasWithState(step, fields, HELD, "append", GroupStateTimeout.NoTimeout)
 
 
 #: Parts of a keyed table, by a hash of the key.

@@ -1,5 +1,11 @@
 """The plans of batch queries over streams, run until the input ends."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluice.operators import joins, windows
@@ -99,3 +105,24 @@ def test_keyed_table(spark, tmp_path):
     table = read_keyed(spark, str(tmp_path / "t"), stream.select("user_id", "ts", "value").schema)
     got = {r.user_id: r.value for r in table.collect()}
     assert table.count() == len(got) and got == {r.user_id: r.v for r in batch.groupBy("user_id").agg(F.max_by("value", "ts").alias("v")).collect()}
+
+
+def test_row_buffer_in_a_plain_session_elsewhere(spark, tmp_path):
+    """A caller's session with Spark's default state store, started in another folder: the driver's processes find no sources there."""
+    repo = Path(__file__).resolve().parents[1]
+    code = f"""import sys
+sys.path.insert(0, {str(repo)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+import __spark_entry__
+__spark_entry__.queries()["stream_row_buffer"](spark, "/root/testdata/sf0.001").write.parquet("out")
+spark.stop()"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    w = Window.partitionBy("user_id").orderBy("ts")
+    last = windows.row_buffer(["user_id"], ["ts"], 5)
+    batch = spark.read.parquet(DATA)
+    want = batch.select("event_id", F.lag("value").over(w), F.round(F.avg("value").over(last), 6), F.min("value").over(last), F.max("value").over(last), F.count("*").over(last).cast("double"))
+    got = spark.read.parquet(str(tmp_path / "out")).select("event_id", "lag_value", "avg_value", "min_value", "max_value", "n_rows")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
