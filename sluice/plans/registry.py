@@ -116,7 +116,7 @@ def _frame_statistics(spark, d):
 
 @_query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS day_n FROM events""")
 def _range_frame(spark, d):
-    w = W.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-86400, 0)
+    w = W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
     return _t(spark, d, "events").select("event_id", F.count("*").over(w).alias("day_n"))
 
 

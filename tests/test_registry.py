@@ -44,3 +44,14 @@ def test_query(spark, duck, name):
 
 def test_every_query_has_sql():
     assert registry.queries().keys() == registry.oracle_sql().keys()
+
+
+def test_range_frame_counts_parts_of_seconds(spark, tmp_path):
+    """A day back from a row is exactly a day: 0.8 s and 1 microsecond more are outside, a day and less are inside."""
+    times = ["2024-01-01 00:00:00.1", "2024-01-02 00:00:00.9", "2024-01-03 00:00:00.9", "2024-01-04 00:00:00.900001", "2024-01-05 00:00:00.3", "1969-12-30 23:59:59.7", "1969-12-31 23:59:59.8"]
+    spark.createDataFrame([(k, 1, t) for k, t in enumerate(times)], "event_id long, user_id long, t string").selectExpr("event_id", "user_id", "cast(t AS timestamp_ntz) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["range_frame"]).fetchall())
+    assert [n for _, n in want] == [1, 1, 2, 1, 2, 1, 1]
+    assert sorted(map(tuple, registry.queries()["range_frame"](spark, str(tmp_path)).collect())) == want
