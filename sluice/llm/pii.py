@@ -56,7 +56,7 @@ class Wider:
 
 _PROSE = r"\p{L}[,.;]?\s$"
 WIDER = (
-    Wider("local_phone", r"(?<![0-9+.])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.])", r"^\(?[2-9]", r"^\(?[01]", r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|tel[eé]fono)\b", r"[:#]\s?$", _PROSE, "-"),
+    Wider("local_phone", r"(?<![0-9+.])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.])", r"^\(?[2-9]", r"^\(?[01]", r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|tel[eé]fono)\b", r"[:#]\s?$", _PROSE),
     Wider("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+", r"^(?=.*[0-9].*[0-9].*[0-9])(?=.*[A-Za-z].*[A-Za-z].*[A-Za-z])[A-Za-z0-9+/_-]{20,}$", r"^[\p{L}/_-]+$", r"(?i)(?:password|passwd|pwd|secret|token|api[\x20_-]?key|credential|passwort|contrase[nñ]a|mot\x20de\x20passe)", r"[=:]\s{0,3}[\x22']?$", _PROSE),
     Wider("birth", r"(?<![0-9])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9])", r"-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$", r"-00|-1[3-9]|-3[2-9]$", r"(?i)\b(?:born|birth|birthday|dob|geboren|nacid[oa]|n[eé]e?)\b", r"[:(*]\s?$", r"[,;]\s$", "-"),
     Wider("person", r"(?<!\p{L})(?:Mrs|Mr|Ms|Dr|Prof|Herr|Frau|Se[nñ]or|Se[nñ]ora|Mme|Madame)\b\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?+", r"\p{Ll}\x20\p{Lu}\p{Ll}+\x20\p{Lu}|\.\x20\p{Lu}", r"(?i)\x20(?:the|this|and|of)$", r"(?i)\b(?:name|dear|patient|client|contact|regards|sincerely)\b", r"[:(]\s?$", r"\p{Lu}\p{L}*\s$"),
