@@ -55,3 +55,14 @@ def test_range_frame_counts_parts_of_seconds(spark, tmp_path):
     want = sorted(con.execute(registry.oracle_sql()["range_frame"]).fetchall())
     assert [n for _, n in want] == [1, 1, 2, 1, 2, 1, 1]
     assert sorted(map(tuple, registry.queries()["range_frame"](spark, str(tmp_path)).collect())) == want
+
+
+def test_stream_takes_rows_of_any_month_and_without_a_time(spark, tmp_path):
+    """Files arrive in the order of time, not of days of a month, and a row without a time comes last."""
+    times = ["2024-02-05 00:00:00", "2024-01-20 00:00:00", "2024-01-05 00:00:00", "2024-02-25 00:00:00", None]
+    rows = [(k, 1, t, "view", float(k)) for k, t in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, user_id long, t string, event_type string, value double").selectExpr("event_id", "cast(t AS timestamp_ntz) AS ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["stream_row_buffer"]).fetchall())
+    assert len(want) == 5 and sorted(map(tuple, registry.queries()["stream_row_buffer"](spark, str(tmp_path)).collect())) == want
