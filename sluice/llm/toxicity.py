@@ -48,6 +48,8 @@ CODES = math.prod(PARTS)
 STRONG = 3
 SEGMENT = 128
 ROUNDS = 150
+#: What the driver works on at a time while it trains; all are worked on. Places of features, parts of all places, segments.
+PLACES_AT_ONCE, PARTS_OF_PLACES, SEGMENTS_AT_ONCE = 1 << 19, 8, 2048
 MEMO_ENTRIES = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
@@ -83,55 +85,77 @@ class _Places:
         numbers: dict[str, int] = {"": 0}
         flat = array("i", [0])
         for text in sorted(set(texts)):  # copies of a document count once
-            for token in text.lower().split():
-                flat.append(numbers.setdefault(token, len(numbers)))
+            flat.extend([numbers.setdefault(token, len(numbers)) for token in text.lower().split()])
             flat.append(0)
-        at = np.array(flat, np.int64)
-        _, around = np.unique(at[:-2] * len(numbers) + at[2:], return_inverse=True)
+        at = np.array(flat, np.int32)
+        del flat
+        around, n = np.zeros(max(0, len(at) - 2), np.int32), 0
+        for part in range(PARTS_OF_PLACES):  # numbers are given by parts of the tokens before, as sorting takes several arrays
+            rows = np.flatnonzero((at[:-2] % PARTS_OF_PLACES == part) & (at[1:-1] > 0))
+            found, number = np.unique(at[rows].astype(np.int64) << 32 | at[rows + 2], return_inverse=True)
+            around[rows], n = number + n, n + len(found)
         inner = at[1:-1] > 0
-        pairs = np.unique(at[1:-1][inner] << 32 | around[inner])
-        self.tokens, self.token, self.around = list(numbers), pairs >> 32, pairs & 0xFFFFFFFF
+        pairs = _distinct(at[1:-1][inner].astype(np.int64) << 32 | around[inner])
+        self.tokens, self.around = list(numbers), (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.first = np.searchsorted(pairs, np.arange(len(numbers) + 1) << 32)
 
-    def counts(self, n: int, only: dict[str, int] | None) -> dict[str, int]:
-        """Number of different surroundings of each feature of one sort: whole words (n = 0) or beginnings of n letters; of
-        those in `only` if it is given."""
+    def counts(self, n: int) -> dict[str, int]:
+        """Number of different surroundings of each feature of one sort: whole words (n = 0) or beginnings of n letters."""
         numbers: dict[str, int] = {}
         owner, feature = array("i"), array("i")
         for k, token in enumerate(self.tokens):
             words = [token] if token.isalpha() else _WORD.findall(token)
             for f in set(_beginnings(words, n) if n else words):
-                if only is None or f in only:
-                    owner.append(k)
-                    feature.append(numbers.setdefault(f, len(numbers)))
-        own = np.array(feature, np.int64)
-        first = np.searchsorted(np.array(owner), np.arange(len(self.tokens) + 1))
-        many = np.diff(first)[self.token]
-        start = np.repeat(first[self.token] - np.cumsum(many) + many, many)
-        seen = np.unique(own[start + np.arange(len(start))] << 32 | np.repeat(self.around, many)) >> 32
-        return dict(zip(numbers, np.bincount(seen, minlength=len(numbers)).tolist(), strict=True))
-
-    def total(self) -> int:
-        """Surroundings of all features together."""
-        return sum(sum(self.counts(n, None).values()) for n in (0, *BEGINNINGS))
+                owner.append(k)
+                feature.append(numbers.setdefault(f, len(numbers)))
+        own, of = np.array(feature, np.int32), np.array(owner, np.int32)
+        order = np.argsort(own, kind="stable")
+        own, of = own[order], of[order]
+        many = self.first[of + 1] - self.first[of]
+        ends = np.searchsorted(own, np.arange(len(numbers)), "right")  # of the features, which are not cut
+        rows = np.cumsum(many)[ends - 1] if len(numbers) else ends
+        seen, a = np.zeros(len(numbers), np.int64), 0
+        while a < len(numbers):
+            done = rows[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(rows, done + PLACES_AT_ONCE, "right")))
+            some = slice(ends[a - 1] if a else 0, ends[b - 1])
+            start = np.repeat(self.first[of[some]] - np.cumsum(many[some]) + many[some], many[some])
+            start += np.arange(len(start))
+            places = _distinct(np.repeat(own[some].astype(np.int64) - a << 32, many[some]) | self.around[start])
+            seen[a:b] = np.bincount(places >> 32, minlength=b - a)
+            a = b
+        return dict(zip(numbers, seen.tolist(), strict=True))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; the given array is sorted in place."""
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
 def find_markers(toxic: list[str], clean: list[str]) -> dict[str, int]:
     """Strength 1..STEPS-1 of each marker. Copies of a document share surroundings and so count once.
 
-    Places are numbers in arrays and one sort of feature is counted at a time, so that the driver's memory stays a few
-    times that of the sample."""
+    Places are numbers in arrays, and one sort of feature is counted at a time, some features after others, so that the
+    driver's memory stays at a few times that of the sample."""
+    sorts, total = (0, *BEGINNINGS), [1, 1]
+    often, other = {}, {}
     places = _Places(toxic)
-    by_sort = {n: places.counts(n, None) for n in (0, *BEGINNINGS)}
-    total = [0, sum(sum(c.values()) for c in by_sort.values()) + 1]
-    often = {n: {f: k for f, k in c.items() if k >= LEAST_PLACES} for n, c in by_sort.items()}
-    del by_sort
+    for n in sorts:
+        seen = places.counts(n)
+        total[1] += sum(seen.values())
+        often[n] = {f: k for f, k in seen.items() if k >= LEAST_PLACES}
+    del places, seen
     places = _Places(clean)
-    total[0] = places.total() + 1
+    for n in sorts:
+        seen = places.counts(n)
+        total[0] += sum(seen.values())
+        other |= {f: seen.get(f, 0) for f in often[n]}
+    del places, seen
     found = {}
-    for n, kept in often.items():
-        other = places.counts(n, kept)
+    for kept in often.values():
         for f, k in kept.items():
-            odds = math.log((k + 0.5) / total[1]) - math.log((other.get(f, 0) + 0.5) / total[0])
+            odds = math.log((k + 0.5) / total[1]) - math.log((other[f] + 0.5) / total[0])
             if odds >= LEAST_ODDS:
                 found[f] = 1 + min(STEPS - 2, int(odds - LEAST_ODDS))
     # a beginning says nothing of its own if a shorter one is as strong
@@ -179,45 +203,68 @@ class Chain:
         return found
 
 
+class _Segments:
+    """Different segments, the longest first, with their numbers: row i of an array has the i-th tokens, of the first `many[i]` segments."""
+
+    def __init__(self, kinds: list[tuple[tuple[bytes, bytes], int]]):
+        length = np.array([len(o) for (o, _), _ in kinds])
+        self.many = [int((length > i).sum()) for i in range(length[0])]
+        self.obs, self.state = (np.zeros((length[0], len(kinds)), np.uint8) for _ in range(2))
+        for k, ((o, s), _) in enumerate(kinds):
+            self.obs[: len(o), k], self.state[: len(s), k] = np.frombuffer(o, np.uint8), np.frombuffer(s, np.uint8)
+        self.weight, self.length = np.array([n for _, n in kinds], np.float64), length
+
+    def weights(self) -> np.ndarray:
+        return (np.arange(len(self.many))[:, None] < self.length) * self.weight
+
+    def seen(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of observations in state 1, and of steps between states, as labelled."""
+        w = self.weights()
+        step = np.bincount((2 * self.state[:-1] + self.state[1:]).ravel(), w[1:].ravel(), 4)
+        return np.bincount(self.obs.ravel(), (w * self.state).ravel(), CODES), step.reshape(2, 2)
+
+    def expected(self, emit: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same as a chain expects them; by ratios of state 1 to state 0, forward up to a token and backward after it."""
+        w, e = self.weights(), emit[self.obs]
+        forward, backward = np.zeros_like(e), np.ones_like(e)
+        forward[0] = e[0]
+        for i in range(1, len(e)):
+            k = self.many[i]
+            r = forward[i - 1, :k]
+            forward[i, :k] = e[i, :k] * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r)
+        for i in range(len(e) - 2, -1, -1):
+            k = self.many[i + 1]
+            r = e[i + 1, :k] * backward[i + 1, :k]
+            backward[i, :k] = (m[1, 0] + m[1, 1] * r) / (m[0, 0] + m[0, 1] * r)
+        both = forward * backward
+        found = np.bincount(self.obs.ravel(), (w * both / (1 + both)).ravel(), CODES)
+        r, q = forward[:-1], (e * backward)[1:]
+        each = w[1:] / (m[0, 0] + m[0, 1] * q + r * (m[1, 0] + m[1, 1] * q))
+        zero, one = (each * q).sum(), each * r
+        return found, m * np.array([[each.sum(), zero], [one.sum(), (one * q).sum()]])
+
+
 def fit_chain(observed: list[np.ndarray], states: list[np.ndarray]) -> Chain:
-    """Gradient ascent on the conditional log-likelihood of the states, over segments of the documents."""
-    cut = [(o[k : k + SEGMENT], s[k : k + SEGMENT]) for o, s in zip(observed, states, strict=True) for k in range(0, len(o), SEGMENT)]
-    kinds = Counter((o.tobytes(), s.tobytes()) for o, s in cut)  # segments without markers are mostly alike
-    pairs = [(np.frombuffer(o, np.uint8), np.frombuffer(s, np.uint8)) for o, s in kinds]
-    weight = np.array(list(kinds.values()), np.float64)
-    length = np.array([len(o) for o, _ in pairs])
-    obs, state = np.zeros((len(pairs), SEGMENT), np.int64), np.zeros((len(pairs), SEGMENT), np.int64)
-    for k, (o, s) in enumerate(pairs):
-        obs[k, : len(o)], state[k, : len(o)] = o, s
-    real = np.arange(SEGMENT)[None, :] < length[:, None]
-    w = weight[:, None] * real
-    inner = real[:, 1:] * weight[:, None]
-    seen_emit = np.bincount(obs.ravel(), (w * state).ravel(), CODES)
-    seen_step = np.zeros((2, 2))
-    np.add.at(seen_step, (state[:, :-1], state[:, 1:]), inner)
+    """Gradient ascent on the conditional log-likelihood of the states, over all segments of the documents; SEGMENTS_AT_ONCE of
+    them are in work at a time, as each takes 128 numbers in a dozen arrays."""
+    cut = ((o[k : k + SEGMENT].tobytes(), s[k : k + SEGMENT].tobytes()) for o, s in zip(observed, states, strict=True) for k in range(0, len(o), SEGMENT))
+    kinds = sorted(Counter(cut).items(), key=lambda kind: -len(kind[0][0]))  # segments without markers are mostly alike
+    parts = [_Segments(kinds[k : k + SEGMENTS_AT_ONCE]) for k in range(0, len(kinds), SEGMENTS_AT_ONCE)]
+    del kinds
+    seen_emit, seen_step = np.zeros(CODES), np.zeros((2, 2))
+    for part in parts:
+        emit, steps = part.seen()
+        seen_emit, seen_step = seen_emit + emit, seen_step + steps
     n = _FEATURES.shape[1]
     weights, step = np.zeros(n), np.zeros((2, 2))
     mean, square = np.zeros(n + 4), np.zeros(n + 4)
-    total = w.sum()
+    total = max(1.0, sum(float(part.weight @ part.length) for part in parts))
     for t in range(1, ROUNDS + 1):
-        e = np.ones((len(pairs), SEGMENT, 2))
-        e[:, :, 1] = np.exp(_FEATURES @ weights)[obs]
-        m = np.exp(step)
-        alpha, beta = np.zeros_like(e), np.ones_like(e)
-        alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-        for i in range(1, SEGMENT):
-            a = (alpha[:, i - 1] @ m) * e[:, i]
-            alpha[:, i] = np.where(real[:, i, None], a / a.sum(axis=1, keepdims=True), alpha[:, i - 1])
-        for i in range(SEGMENT - 2, -1, -1):
-            b = (e[:, i + 1] * beta[:, i + 1]) @ m.T
-            beta[:, i] = np.where(real[:, i + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
-        both = alpha * beta
-        both /= both.sum(axis=2, keepdims=True)
-        pair = alpha[:, :-1, :, None] * m[None, None] * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        grad_weights = _FEATURES.T @ (seen_emit - np.bincount(obs.ravel(), (w * both[:, :, 1]).ravel(), CODES))
-        grad_step = seen_step - (pair * inner[:, :, None, None]).sum(axis=(0, 1))
-        grad = np.concatenate([grad_weights, grad_step.ravel()]) / total - 1e-6 * np.concatenate([weights, step.ravel()])
+        more_emit, more_step = seen_emit, seen_step
+        for part in parts:
+            emit, steps = part.expected(np.exp(_FEATURES @ weights), np.exp(step))
+            more_emit, more_step = more_emit - emit, more_step - steps
+        grad = np.concatenate([_FEATURES.T @ more_emit, more_step.ravel()]) / total - 1e-6 * np.concatenate([weights, step.ravel()])
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
         move = 0.15 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-12)
         weights, step = weights + move[:n], step + move[n:].reshape(2, 2)

@@ -1,8 +1,10 @@
 """The corpus operators against plain versions, on small and awkward inputs."""
 
 import hashlib
+import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from array import array
 
@@ -409,6 +411,64 @@ def test_observations_know_neighbours():
     assert codes == [(0, 0, 0, 0), (0, 0, 1, 0), (2, 0, 2, 1), (5, 1, 1, 0), (0, 0, 2, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
 
 
+def test_training_works_in_bounded_memory(monkeypatch):
+    """All segments count, whatever part of them is in work at a time; the driver holds a few arrays of that part."""
+    rnd = np.random.default_rng(5)
+    observed = [rnd.integers(0, toxicity.CODES, 128 * 40 + k, np.uint8) for k in range(300)]
+    states = [rnd.integers(0, 2, len(o)).astype(np.uint8) for o in observed]
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    tracemalloc.start()
+    chain = toxicity.fit_chain(observed, states)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # 12,300 segments; one array of theirs is 12.6 MB
+    monkeypatch.setattr(toxicity, "SEGMENTS_AT_ONCE", 1 << 20)
+    whole = toxicity.fit_chain(observed, states)
+    assert np.allclose(chain.emit, whole.emit) and np.allclose(chain.step, whole.step)
+
+
+def test_training_expects_what_all_paths_give():
+    kinds = [((b"\x03\x00\x05\x07", b"\1\0\0\1"), 2), ((b"\x05\x05\x00", b"\1\1\0"), 1), ((b"\x07", b"\0"), 4)]
+    emit, m = np.exp(np.linspace(-1, 1, toxicity.CODES)), np.array([[1.5, 0.5], [0.7, 2.0]])
+    want, steps = np.zeros(toxicity.CODES), np.zeros((2, 2))
+    for (o, _), n in kinds:
+        paths = {}
+        for path in itertools.product((0, 1), repeat=len(o)):
+            paths[path] = np.prod([emit[c] for c, y in zip(o, path, strict=True) if y]) * np.prod([m[a] for a in itertools.pairwise(path)])
+        for path, p in paths.items():
+            for c, y in zip(o, path, strict=True):
+                want[c] += y * n * p / sum(paths.values())
+            for a in itertools.pairwise(path):
+                steps[a] += n * p / sum(paths.values())
+    part = toxicity._Segments(kinds)
+    got = part.expected(emit, m)
+    assert np.allclose(got[0], want) and np.allclose(got[1], steps)
+    seen = part.seen()
+    assert seen[0][[0, 3, 5, 7]].tolist() == [0, 2, 2, 2] and seen[1].tolist() == [[2, 2], [3, 1]]
+
+
+def test_places_of_features(monkeypatch):
+    """Numbers of different surroundings are those of plain sets, with many parts or one."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["Alphabet", "alphabets!", "alpha-beta", "beta", "42", "übermut"]) for _ in range(rnd.randrange(60))) for _ in range(40)] + ["", "beta"]
+    want = {n: {} for n in (0, *toxicity.BEGINNINGS)}
+    for text in texts:
+        tokens = ["", *text.lower().split(), ""]
+        for a, token, b in zip(tokens, tokens[1:], tokens[2:], strict=False):
+            for f in toxicity.features(token):
+                want[len(f) - 1 if f.endswith("*") else 0].setdefault(f, set()).add((a, b))
+    for at_once in (1, 50, toxicity.PLACES_AT_ONCE):
+        monkeypatch.setattr(toxicity, "PLACES_AT_ONCE", at_once)
+        places = toxicity._Places(texts)
+        assert all(places.counts(n) == {f: len(s) for f, s in want[n].items()} for n in want)
+    assert toxicity._Places([]).counts(0) == {} == toxicity._Places(["", " 1 "]).counts(4)
+
+
+def test_toxicity_of_a_sample_without_tokens():
+    model = toxicity.train([(1, ""), (0, " "), (0, "")])
+    assert 0 < toxicity._Tagger(model).score("any text") < 1
+
+
 def test_chain_stretches_equal_single_steps():
     chain = toxicity.Chain(np.array([-2.0, 1.0, 2.0, 3.0, 3.0, 3.0]), np.array([[1.0, -1.0], [-0.5, 0.5]]))
     obs = [0, 0, 2, 0, 0, 0, 0, 1, 3, 0]
