@@ -344,7 +344,7 @@ class _Tagger:
             return own
         strength = own // (PARTS[1] * PARTS[2] * PARTS[3])
         beside = np.maximum(np.append(strength[1:], 0), np.insert(strength[:-1], 0, 0))
-        return own + PARTS[3] * ((beside > 0) + (beside >= STRONG)).astype(np.uint8)
+        return own + PARTS[3] * ((beside > 0).astype(np.uint8) + (beside >= STRONG))
 
     def marginals(self, observed: np.ndarray) -> list[float]:
         at = np.flatnonzero(observed)
